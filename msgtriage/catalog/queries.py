@@ -386,7 +386,7 @@ def tfidf_cosine(spark, sf):
     scored = retrieval._score(asked, "id", index.cases, "doc_id", index.postings)
     return scored.groupBy("id").agg(
         F.count("*").alias("n_cases"), F.max("score").alias("top_score"),
-        F.round(F.sum("score"), 4).alias("total_score"))
+        F.round(F.sum("score"), 6).alias("total_score"))
 
 
 @query
