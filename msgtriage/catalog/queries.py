@@ -22,7 +22,7 @@ from msgtriage.operators import (
 from msgtriage.packs import demo
 from msgtriage.plans import dataprep, evaluation, triage
 from msgtriage.session import materialize, work_dir
-from msgtriage.sources.readers import drop_incomplete_pairs
+from msgtriage.sources.readers import drop_incomplete_pairs, spread_rows
 from msgtriage.streaming import triage_stream as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ def user_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread_rows(table(spark, sf, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("customer_text"), "lang", "source"
     )
 
@@ -382,8 +382,9 @@ def tfidf_index(spark, sf):
 def tfidf_cosine(spark, sf):
     """Scores of every message against the pair corpus, summed up per message."""
     index = case_index(spark, sf)
-    asked = index.model.transform(user_turns(spark, sf), "customer_text")
-    scored = retrieval._score(asked, "id", index.cases, "doc_id", index.postings)
+    placed, _ = retrieval.place(user_turns(spark, sf), "id", "customer_text", index.model.config)
+    asked = index.model.transform(placed, "customer_text")
+    scored = retrieval.scores(asked, "id", index.cases, "doc_id")
     return scored.groupBy("id").agg(
         F.count("*").alias("n_cases"), F.max("score").alias("top_score"),
         F.round(F.sum("score"), 6).alias("total_score"))
@@ -421,6 +422,7 @@ def majority_class(spark, sf):
     return classify.majority_class(docs(spark, sf), "lang")
 
 
+@lru_cache(maxsize=8)
 def _intent_model(spark, sf):
     train = labeling.training_set(
         gold(spark, sf), pairs.drop_leaked(texts(spark, sf), gold(spark, sf), "id"), demo.LEXICON)
@@ -632,11 +634,13 @@ SYSTEMS = ("trivial", "simple", "production")
 def _all_predictions(spark, sf):
     items = gold(spark, sf)
     asked = items.select("id", "customer_text")
-    index = case_index(spark, sf)
+    # Two systems search the same index: one search, stored, serves both (the nearest is the first).
+    found = materialize(
+        retrieval.retrieve(asked, case_index(spark, sf), triage.PRODUCTION_K), "found")
     answers = {
         "trivial": triage.trivial_triage(asked, demo.PACK),
-        "simple": triage.simple_triage(asked, demo.WEIGHTS, index, demo.PACK),
-        "production": triage.production_triage(asked, demo.WEIGHTS, index, demo.PACK),
+        "simple": triage.simple_answers(found, demo.WEIGHTS, demo.PACK),
+        "production": triage.production_answers(found, demo.WEIGHTS, demo.PACK),
     }
     tables = [evaluation.evaluate_system(name, items, answers[name], demo.PACK) for name in SYSTEMS]
     return reduce(DataFrame.unionByName, tables)

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -18,6 +18,11 @@ _SPACES = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same characters one by one.
+SPACE_CHARACTERS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+    0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+]))
 SPACE_RUN = f"[{_SPACES}]+"
 NOT_SPACE = f"[^{_SPACES}]"
 
@@ -51,6 +56,18 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+def explode_structs(df: DataFrame, keep: Sequence[str], structs: Column) -> DataFrame:
+    """One row per struct of a computed array, beside the ``keep`` columns; none for an empty array.
+
+    The inner form of ``inline`` makes the optimizer test the array's size in a
+    filter below, which computes the whole array a second time. The outer form
+    does not; its one null row per empty array is removed afterwards.
+    """
+    exploded = df.select(*keep, F.inline_outer(structs))
+    first = exploded.columns[len(keep)]
+    return exploded.where(F.col(first).isNotNull())
+
+
 # --- normalisers -----------------------------------------------------------
 
 def collapse_whitespace(c: Column | str) -> Column:
@@ -86,8 +103,8 @@ def sanitize_reply(c: Column | str, link: str = SUPPORT_LINK) -> Column:
 
 
 def trim_whitespace(c: Column | str) -> Column:
-    """Whitespace of any kind off both ends; null is empty."""
-    return F.regexp_replace(text_or_empty(c), f"^{SPACE_RUN}|{SPACE_RUN}$", "")
+    """Whitespace of any kind off both ends; null is empty. Reads the ends only."""
+    return F.btrim(text_or_empty(c), F.lit(SPACE_CHARACTERS))
 
 
 def repair_text(c: Column | str) -> Column:
@@ -133,10 +150,11 @@ def contains_word(c: Column | str, phrases: Sequence[str]) -> Column:
     """Any phrase occurs with no word character next to it on either side.
 
     The text is padded with spaces so that its ends count as boundaries. One
-    literal pattern per rule, so it is compiled once.
+    literal pattern per rule, so it is compiled once; it only runs on texts that
+    pass the far cheaper substring test.
     """
     padded = F.concat(F.lit(" "), text_or_empty(c), F.lit(" "))
-    return padded.rlike(word_pattern(phrases))
+    return contains_any(c, phrases) & padded.rlike(word_pattern(phrases))
 
 
 # --- tokens ----------------------------------------------------------------

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from math import ceil
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from msgtriage.functions.text import contains_any, let, normalize_text, tokenize
+from msgtriage.functions.text import contains_any, explode_structs, let, normalize_text, tokenize
 from msgtriage.operators.labeling import heuristic_intent
 from msgtriage.operators.tfidf import PRODUCTION_CLASSIFIER, SIMPLE_CLASSIFIER, TfidfConfig, TfidfModel
+from msgtriage.session import materialize
 
 MAX_CLASSES = 1_000
+ROWS_PER_PART = 20_000
 
 # Fixed values
 DAMPING = 0.75
@@ -94,10 +97,14 @@ class IntentModel:
         features = tfidf.vectors(rows, "_clean").select(
             "features", (position - 1).cast("double").alias("label"), row_weight.alias("weight")
         )
+        # Every iteration reads the features, so they are stored; in as few parts as
+        # their number asks for, since a pass over a small set is mostly scheduling.
+        parts = max(1, ceil(n_rows / ROWS_PER_PART))
+        stored = materialize(features.repartition(parts), "features")
         regression = LogisticRegression(
             family="multinomial", regParam=1.0 / (settings.c * n_rows), elasticNetParam=0.0,
             standardization=False, maxIter=settings.max_iter, weightCol="weight",
-        ).fit(features)
+        ).fit(stored)
         return IntentModel(tfidf, regression, labels)
 
     def predict(self, df: DataFrame, text: str = "customer_text") -> DataFrame:
@@ -154,7 +161,7 @@ class LinearWeights:
 
     def probabilities(self, df: DataFrame, text: str, key: str) -> DataFrame:
         """One row per message and label."""
-        return self._scored(df, text).select(key, F.inline("_p"))
+        return explode_structs(self._scored(df, text), [key], F.col("_p"))
 
     def _scored(self, df: DataFrame, text: str) -> DataFrame:
         # Words separated by two spaces, so that neighbours can match one after the other.

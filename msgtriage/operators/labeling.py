@@ -81,7 +81,8 @@ def rule_labelled_items(
 def is_fragment(text: Column, phrases: Sequence[str]) -> Column:
     """Without a leading handle, at most two words and exactly a listed phrase."""
     bare = trim_whitespace(strip_leading_handle(F.lower(trim_whitespace(text))))
-    return (word_count(bare) <= FRAGMENT_WORDS) & bare.isin(list(phrases))
+    # The list test comes first: few texts pass it, so few are split into words.
+    return bare.isin(list(phrases)) & (word_count(bare) <= FRAGMENT_WORDS)
 
 
 def is_out_of_scope(text: Column, needles: Sequence[str]) -> Column:

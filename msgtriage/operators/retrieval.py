@@ -43,9 +43,13 @@ class CaseIndex:
             F.col(key).alias("doc_id"), F.col(text).alias("historical_query"),
             F.col(resolution).alias("historical_resolution"),
         )
+        spark = corpus.sparkSession
+        if path is not None:
+            # The corpus is read three times below; the plan that makes it runs once.
+            usable.write.mode("overwrite").parquet(f"{path}/corpus")
+            usable = spark.read.parquet(f"{path}/corpus")
         model = TfidfModel.fit(usable, "historical_query", config)
         cases = model.transform(usable, "historical_query")
-        spark = corpus.sparkSession
         if path is None:
             return CaseIndex(model, cases, postings_bound(usable, "historical_query", config))
         cases.write.mode("overwrite").parquet(f"{path}/cases")
@@ -77,16 +81,27 @@ def _best(scored: DataFrame, query: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _score(large: DataFrame, large_key: str, small: DataFrame, small_key: str, size: int) -> DataFrame:
+def _tasks(spark: SparkSession, size: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / POSTINGS_PER_TASK))
+
+
+def place(df: DataFrame, key: str, text: str, config: TfidfConfig) -> tuple[DataFrame, int]:
+    """Rows partitioned by their id, into tasks of bounded work, and the bound on their postings.
+
+    Everything the search does with a row then happens in its own task: the text
+    is the smallest form of the row, so it is what moves, once.
+    """
+    size = postings_bound(df, text, config)
+    return df.repartition(_tasks(df.sparkSession, size), key), size
+
+
+def scores(large: DataFrame, large_key: str, small: DataFrame, small_key: str) -> DataFrame:
     """C4: cosine of every pair that shares a term; ``small`` is broadcast, ``large`` stays put.
 
-    ``large`` is partitioned by its row id once, as compact vectors. The sum per
-    pair then needs no further exchange, whatever the frequency of a term.
+    ``large`` must be partitioned by its row id: the sum per pair then needs no
+    exchange, whatever the frequency of a term.
     """
-    spark = large.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / POSTINGS_PER_TASK))
-    placed = large.select(large_key, "tfidf").repartition(tasks, large_key)
-    left = explode_vectors(placed, large_key)
+    left = explode_vectors(large, large_key)
     right = F.broadcast(explode_vectors(small, small_key).withColumnRenamed("weight", "other"))
     pairs = left.join(right, "term_id").groupBy(large_key, small_key)
     return pairs.agg(F.round(F.sum(F.col("weight") * F.col("other")), SCORE_DIGITS).alias("score"))
@@ -103,25 +118,29 @@ def _blocks(df: DataFrame, key: str, size: int, limit: int) -> list[DataFrame]:
 
 def rank_cases(
     queries: DataFrame, index: CaseIndex, k: int, key: str = "id", text: str = "customer_text",
-    max_broadcast: int = MAX_BROADCAST_POSTINGS,
+    max_broadcast: int = MAX_BROADCAST_POSTINGS, size: int | None = None,
 ) -> DataFrame:
     """``(key, doc_id, score, rank)`` of the ``k`` closest cases per message; exact.
 
     The smaller side is broadcast. If even that is above the bound it is cut into
     hash blocks, searched one after another; each block's best ``k`` are written
-    to the shared folder and merged, so nothing is dropped.
+    to the shared folder and merged, so nothing is dropped. Give ``size`` if the
+    queries come from ``place``.
     """
-    # Column names of the two sides must differ for the join.
+    if size is None:
+        queries, size = place(queries.select(key, text), key, text, index.model.config)
+    # The key of the messages must not collide with that of the cases.
     q = queries.select(F.col(key).alias("_q"), F.col(text).alias("_text"))
-    q_size = postings_bound(q, "_text", index.model.config)
     q_vectors = index.model.transform(q, "_text").select("_q", "tfidf")
     cases = index.cases.select("doc_id", "tfidf")
-    if index.postings <= q_size:
+    if index.postings <= size:
         blocks = _blocks(cases, "doc_id", index.postings, max_broadcast)
-        parts = [_best(_score(q_vectors, "_q", b, "doc_id", q_size), "_q", k) for b in blocks]
+        parts = [_best(scores(q_vectors, "_q", b, "doc_id"), "_q", k) for b in blocks]
     else:
-        blocks = _blocks(q_vectors, "_q", q_size, max_broadcast)
-        parts = [_best(_score(cases, "doc_id", b, "_q", index.postings), "_q", k) for b in blocks]
+        tasks = _tasks(queries.sparkSession, index.postings)
+        placed = cases.repartition(tasks, "doc_id")
+        blocks = _blocks(q_vectors, "_q", size, max_broadcast)
+        parts = [_best(scores(placed, "doc_id", b, "_q"), "_q", k) for b in blocks]
     if len(parts) == 1:
         best = parts[0]
     else:
@@ -135,13 +154,17 @@ def rank_cases(
 
 def retrieve(
     queries: DataFrame, index: CaseIndex, k: int, key: str = "id", text: str = "customer_text",
-    max_broadcast: int = MAX_BROADCAST_POSTINGS,
+    max_broadcast: int = MAX_BROADCAST_POSTINGS, size: int | None = None,
 ) -> DataFrame:
     """Each message with its list of cases, best first, and its top score.
 
     A message that shares no term with any case keeps an empty list and score 0.
+    With ``size`` the queries are taken as placed: the lists then come back to
+    rows that are already in the right task.
     """
-    best = rank_cases(queries, index, k, key, text, max_broadcast)
+    if size is None:
+        queries, size = place(queries, key, text, index.model.config)
+    best = rank_cases(queries, index, k, key, text, max_broadcast, size)
     texts = index.cases.select("doc_id", "historical_query", "historical_resolution")
     case = F.struct(
         "rank", F.round("score", REPORTED_DIGITS).alias("similarity_score"), "doc_id",

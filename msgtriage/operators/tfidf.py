@@ -7,14 +7,16 @@ terms with partial sums, and weighted row by row without any shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StopWordsRemover
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from msgtriage.functions.text import HYPHEN_WORD, LONG_WORD, let, ngrams, remove_stop_words, tokenize
+from msgtriage.functions.text import (
+    HYPHEN_WORD, LONG_WORD, explode_structs, let, ngrams, remove_stop_words, tokenize,
+)
 
 MAX_VOCABULARY = 100_000
 
@@ -66,7 +68,7 @@ def term_counts(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
         config.terms(F.col(text)),
         lambda t: F.concat(marked(t, 1, 0), marked(F.array_distinct(t), 0, 1)),
     )
-    return df.select(F.inline(emitted)).groupBy("term").agg(
+    return explode_structs(df, [], emitted).groupBy("term").agg(
         F.sum("cf").alias("cf"), F.sum("df").alias("df")
     )
 
@@ -90,6 +92,7 @@ class TfidfModel:
     terms: list[str]
     idf: list[float]
     n_docs: int
+    _stages: tuple | None = field(default=None, repr=False, compare=False)
 
     @staticmethod
     def fit(df: DataFrame, text: str, config: TfidfConfig) -> "TfidfModel":
@@ -103,6 +106,16 @@ class TfidfModel:
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
         return spark.createDataFrame(rows, "term_id int, term string, idf double")
 
+    def _counting(self) -> tuple[CountVectorizerModel, ElementwiseProduct]:
+        """The two JVM stages; sending them the vocabulary takes a while, so once per model."""
+        if self._stages is None:
+            counts = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_tf")
+            scale = ElementwiseProduct(
+                scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf"
+            )
+            self._stages = (counts, scale)
+        return self._stages
+
     def transform(self, df: DataFrame, text: str, output: str = "tfidf") -> DataFrame:
         """Add a struct (indices, values) with the L2-normalised weights of each row.
 
@@ -114,12 +127,7 @@ class TfidfModel:
             return df.withColumn(
                 output, F.struct(F.array().alias("indices"), F.array().alias("values")).cast(empty)
             )
-        counts = CountVectorizerModel.from_vocabulary(
-            self.terms, inputCol="_terms", outputCol="_tf"
-        )
-        scale = ElementwiseProduct(
-            scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf"
-        )
+        counts, scale = self._counting()
         scaled = scale.transform(counts.transform(df.withColumn("_terms", self.config.terms(F.col(text)))))
         # The vectors are opened to arrays; tf * idf / tf gives back the idf of each entry.
         opened = scaled.withColumn("_tf", F.unwrap_udt("_tf")).withColumn("_tfidf", F.unwrap_udt("_tfidf"))
@@ -185,4 +193,4 @@ def explode_vectors(df: DataFrame, key: str, vector: str = "tfidf") -> DataFrame
     entries = F.arrays_zip(
         F.col(f"{vector}.indices").alias("term_id"), F.col(f"{vector}.values").alias("weight")
     )
-    return df.select(key, F.inline(entries)).toDF(key, "term_id", "weight")
+    return explode_structs(df, [key], entries).toDF(key, "term_id", "weight")

@@ -20,16 +20,16 @@ def trivial_triage(messages: DataFrame, pack: TriagePack) -> DataFrame:
     return constant_reply(never_escalate(labelled, pack.trivial_reason), pack.trivial_reply)
 
 
-def simple_triage(messages: DataFrame, model, index: CaseIndex, pack: TriagePack) -> DataFrame:
-    """Model label, keyword escalation, verbatim nearest reply."""
+def simple_answers(found: DataFrame, model, pack: TriagePack) -> DataFrame:
+    """P2 after the search: model label, keyword escalation, verbatim nearest reply. Narrow."""
     decided = keyword_decision(
-        model.predict(messages), pack.simple_keywords, pack.simple_hit_reason, pack.simple_miss_reason
+        model.predict(found), pack.simple_keywords, pack.simple_hit_reason, pack.simple_miss_reason
     )
-    return verbatim_reply(retrieve(decided, index, SIMPLE_K), pack.simple_fallback_reply)
+    return verbatim_reply(decided, pack.simple_fallback_reply)
 
 
 def classify_and_decide(messages: DataFrame, model, pack: TriagePack) -> DataFrame:
-    """The narrow half of P3: intent, confidence and escalation decision of each message."""
+    """The first half of P3: intent, confidence and escalation decision of each message. Narrow."""
     labelled = production_intent(
         messages, model, pack.fragments, pack.out_of_scope, pack.fragment_label,
         pack.out_of_scope_label, pack.damped_label, pack.damped_terms, pack.majority,
@@ -37,17 +37,26 @@ def classify_and_decide(messages: DataFrame, model, pack: TriagePack) -> DataFra
     return decide(labelled, pack.escalation_rules, pack.escalation_default)
 
 
+def production_answers(found: DataFrame, model, pack: TriagePack) -> DataFrame:
+    """P3 after the search: classify, decide, draft. Narrow."""
+    return draft_reply(
+        classify_and_decide(found, model, pack), pack.reply_templates, pack.general_reply, pack.topics,
+        pack.default_reply,
+    )
+
+
+def simple_triage(messages: DataFrame, model, index: CaseIndex, pack: TriagePack) -> DataFrame:
+    """P2; needs ``id`` and ``customer_text``."""
+    return simple_answers(retrieve(messages, index, SIMPLE_K), model, pack)
+
+
 def production_triage(messages: DataFrame, model, index: CaseIndex, pack: TriagePack) -> DataFrame:
-    """Classify, search, decide, draft; needs ``id`` and ``customer_text``.
+    """P3; needs ``id`` and ``customer_text``.
 
     Classification, rules and templates are expressions on the row; only the
-    search moves data. The rule that fired stays in the output.
+    search moves data, once, by message id. The rule that fired stays in the output.
     """
-    decided = classify_and_decide(messages, model, pack)
-    found = retrieve(decided, index, PRODUCTION_K)
-    return draft_reply(
-        found, pack.reply_templates, pack.general_reply, pack.topics, pack.default_reply
-    )
+    return production_answers(retrieve(messages, index, PRODUCTION_K), model, pack)
 
 
 def output_columns(triaged: DataFrame) -> DataFrame:

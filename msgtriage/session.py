@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -28,17 +30,17 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for materialised tables.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session may go without it; it then gets a temporary folder, remembered in
-    the session so that later calls share it.
+    session may go without it; it then gets one temporary folder.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="msgtriage-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="msgtriage-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

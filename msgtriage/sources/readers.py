@@ -73,6 +73,16 @@ def stack_ratings(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("id").alias("item_id"), F.inline(F.array(*cells)))
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of a few files, spread over the cores by key.
+
+    Text work is bound by the CPU, and a file of one row group is read by one task.
+    A large table comes in many files, has tasks enough, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Stored detailed predictions."""
     def load() -> DataFrame:
