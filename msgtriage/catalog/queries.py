@@ -685,7 +685,7 @@ def weighted_kappa(spark, sf):
 
 @query
 def rater_pearson(spark, sf):
-    return _rounded(ag.rater_pearson(ratings(spark, sf)), ["dimension"], ["pearson_r"], 6)
+    return _rounded(ag.rater_pearson(ag.rating_counts(ratings(spark, sf))), ["dimension"], ["pearson_r"], 6)
 
 
 @query

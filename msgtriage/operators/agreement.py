@@ -58,17 +58,26 @@ def weighted_kappa(counts: DataFrame) -> DataFrame:
     )
 
 
-def rater_pearson(ratings: DataFrame, dimension: str = "dimension") -> DataFrame:
-    """K4: correlation of the two raters; null for a constant rater."""
-    r = F.corr(F.col(A).cast("double"), F.col(B).cast("double"))
-    return ratings.groupBy(F.col(dimension).alias("dimension")).agg(F.nanvl(r, F.lit(None)).alias("pearson_r"))
+def rater_pearson(counts: DataFrame) -> DataFrame:
+    """K4: correlation of the two raters, weighted by the counts; null for a constant rater."""
+    n, total = F.col("n"), F.sum("n")
+    means = counts.groupBy("dimension").agg(
+        (F.sum(n * F.col(A)) / total).alias("ma"), (F.sum(n * F.col(B)) / total).alias("mb"),
+        (F.sum(n * F.col(A) * F.col(A)) / total).alias("maa"),
+        (F.sum(n * F.col(B) * F.col(B)) / total).alias("mbb"),
+        (F.sum(n * F.col(A) * F.col(B)) / total).alias("mab"),
+    )
+    spread = (F.col("maa") - F.col("ma") * F.col("ma")) * (F.col("mbb") - F.col("mb") * F.col("mb"))
+    covariance = F.col("mab") - F.col("ma") * F.col("mb")
+    r = F.when(spread > 1e-12, covariance / F.sqrt(spread))
+    return means.select("dimension", r.alias("pearson_r"))
 
 
 def agreement(ratings: DataFrame, dimension: str = "dimension") -> DataFrame:
     """K1-K5 side by side, to the reported precision."""
     counts = rating_counts(ratings, dimension)
     joined = agreement_rates(counts).join(weighted_kappa(counts), "dimension").join(
-        rater_pearson(ratings, dimension), "dimension"
+        rater_pearson(counts), "dimension"
     )
     return joined.select(
         "dimension",

@@ -76,5 +76,5 @@ def length_compliance(df: DataFrame, by: str, reply: str = "drafted_reply") -> D
     fits = within_limit(reply)
     return df.groupBy(by).agg(
         F.count(reply).alias("n"), F.count_if(fits).alias("compliant"),
-        (F.count_if(fits) / F.count(reply)).alias("rate"),
+        F.try_divide(F.count_if(fits), F.count(reply)).alias("rate"),
     )

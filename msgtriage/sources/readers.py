@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from msgtriage import schemas
 from msgtriage.operators.limits import first_n
@@ -15,10 +15,19 @@ def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def read_raw_messages(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """A1: the raw message dump. ``max_rows`` keeps the lowest message ids."""
-    df = open_input(
-        lambda: _csv(spark, path, schemas.RAW_MESSAGES), "the download of the raw messages"
-    )
+    """A1: the raw message dump. ``max_rows`` keeps the lowest message ids.
+
+    The parent id may be written as a whole float (``12.0``), since it can be
+    missing; it is read as text and made a LONG, exact for any id.
+    """
+    parent = "in_response_to_tweet_id"
+    as_text = T.StructType([
+        T.StructField(f.name, T.StringType() if f.name == parent else f.dataType)
+        for f in schemas.RAW_MESSAGES
+    ])
+    raw = open_input(lambda: _csv(spark, path, as_text), "the download of the raw messages")
+    whole = F.regexp_replace(F.col(parent), r"\.0*$", "")
+    df = raw.withColumn(parent, whole.try_cast("long"))
     return df if max_rows is None else first_n(df, "tweet_id", max_rows)
 
 

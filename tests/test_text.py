@@ -1,0 +1,101 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from msgtriage.functions import text as tx
+
+SAMPLES = [
+    "@Brand_1 my phone  is\tslow https://t.co/Ab1?x=1 now",
+    "café — naïve text　end ",
+    "\U0001f600\U0001f600",
+    "",
+    None,
+    "@12345 hi @678 see http://t.co/Zz9 it’s fine",
+    "a well-known e-mail x -y- z",
+    "  @brand   yes  ",
+    "two  spaces   three",
+]
+
+
+@pytest.fixture(scope="module")
+def samples(spark):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES)], "id int, t string").coalesce(1)
+
+
+def run(df, column):
+    return [r[0] for r in df.orderBy("id").select(column.alias("x")).collect()]
+
+
+def py_collapse(t):
+    return re.sub(r"\s+", " ", t or "").strip()
+
+
+def test_collapse_and_normalise_follow_unicode_whitespace(samples):
+    assert run(samples, tx.collapse_whitespace("t")) == [py_collapse(t) for t in SAMPLES]
+
+    def expected(t):
+        t = re.sub(r"@\w+", " ", t or "")
+        t = re.sub(r"https?://\S+", " ", t)
+        return py_collapse(re.sub(r"[^\x00-\x7F]+", " ", t))
+
+    assert run(samples, tx.normalize_text("t")) == [expected(t) for t in SAMPLES]
+
+
+def test_trim_equals_strip(samples):
+    assert run(samples, tx.trim_whitespace("t")) == [(t or "").strip() for t in SAMPLES]
+
+
+def test_handles(samples):
+    assert run(samples, tx.strip_leading_handle("t"))[0].startswith("my phone")
+    assert "@" not in "".join(run(samples, tx.blank_handles("t")))
+
+
+def test_sanitize_reply(samples):
+    assert run(samples, tx.sanitize_reply("t"))[5] == "hi see https://apple.co/support it's fine"
+
+
+def test_repair_replaces_each_pair_of_spaces(samples):
+    assert run(samples, tx.repair_text("t"))[8] == "two spaces  three"
+
+
+def test_tokens(samples):
+    words = run(samples, tx.tokenize("t"))
+    assert words == [re.findall(r"\b\w+\b", (t or "").lower()) for t in SAMPLES]
+    long_words = run(samples, tx.tokenize("t", tx.LONG_WORD))
+    assert long_words == [re.findall(r"(?u)\b\w\w+\b", (t or "").lower()) for t in SAMPLES]
+    hyphens = run(samples, tx.tokenize("t", tx.HYPHEN_WORD))
+    assert hyphens == [re.findall(r"(?u)\b\w[\w-]*\w\b", (t or "").lower()) for t in SAMPLES]
+
+
+def test_ngrams_of_short_and_long_lists(spark):
+    df = spark.createDataFrame([(0, []), (1, ["a"]), (2, ["a", "b", "c"])], "id int, t array<string>")
+    assert run(df, tx.ngrams(F.col("t"), 1, 3)) == [
+        [], ["a"], ["a", "b", "c", "a b", "b c", "a b c"]]
+    assert run(df, tx.ngrams(F.col("t"), 2, 2)) == [[], [], ["a b", "b c"]]
+
+
+def test_word_count_and_limit(samples):
+    assert run(samples, tx.word_count("t")) == [len((t or "").split()) for t in SAMPLES]
+    assert run(samples, tx.truncate("t", 5))[0] == "@Bran"
+
+
+@pytest.mark.parametrize("text,hit", [
+    ("i will sue you", True), ("an issue here", False), ("sue", True), ("sue_me", False),
+    ("(sue)", True), ("ésue", False), (None, False),
+])
+def test_word_boundaries(spark, text, hit):
+    df = spark.createDataFrame([(0, text)], "id int, t string")
+    assert run(df, tx.contains_word("t", ["sue"])) == [hit]
+
+
+def test_null_text_contains_nothing(spark):
+    df = spark.createDataFrame([(0, None), (1, "a.b")], "id int, t string")
+    assert run(df, tx.contains_any("t", ["a.b"])) == [False, True]
+    assert run(df, tx.contains_any("t", [])) == [False, False]
+
+
+def test_stop_words_go_before_ngrams(spark):
+    df = spark.createDataFrame([(0, "cat on the mat")], "id int, t string")
+    kept = tx.remove_stop_words(tx.tokenize("t"), ["on", "the"])
+    assert run(df, tx.ngrams(kept, 2, 2)) == [["cat mat"]]
