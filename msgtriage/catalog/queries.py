@@ -54,7 +54,8 @@ def raw_message_columns() -> list[Column]:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select(*raw_message_columns())
+    turns = spread_rows(table(spark, sf, "conversations"), "conv_id")
+    return turns.select(*raw_message_columns())
 
 
 def user_turns(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,13 +54,17 @@ class CaseIndex:
             return CaseIndex(model, cases, postings_bound(usable, "historical_query", config))
         cases.write.mode("overwrite").parquet(f"{path}/cases")
         model.save(spark, f"{path}/model")
-        return CaseIndex.load(spark, path)
+        return CaseIndex._stored(spark, path, model)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "CaseIndex":
+        return CaseIndex._stored(spark, path, TfidfModel.load(spark, f"{path}/model"))
+
+    @staticmethod
+    def _stored(spark: SparkSession, path: str, model: TfidfModel) -> "CaseIndex":
         cases = spark.read.parquet(f"{path}/cases")
         size = cases.agg(F.sum(F.size("tfidf.indices"))).first()[0] or 0
-        return CaseIndex(TfidfModel.load(spark, f"{path}/model"), cases, size)
+        return CaseIndex(model, cases, size)
 
 
 def postings_bound(df: DataFrame, text: str, config: TfidfConfig) -> int:

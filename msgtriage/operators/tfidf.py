@@ -10,7 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import log
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StopWordsRemover
+from pyspark.ml.feature import (
+    CountVectorizer, CountVectorizerModel, ElementwiseProduct, StopWordsRemover,
+)
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -86,36 +88,32 @@ def vocabulary(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
 
 @dataclass
 class TfidfModel:
-    """A fitted vocabulary; position in ``terms`` is the term's index."""
+    """A fitted vocabulary; the position in ``terms`` is the term's id."""
 
     config: TfidfConfig
     terms: list[str]
     idf: list[float]
     n_docs: int
-    _stages: tuple | None = field(default=None, repr=False, compare=False)
+    counts: CountVectorizerModel | None = field(repr=False, compare=False)
 
     @staticmethod
     def fit(df: DataFrame, text: str, config: TfidfConfig) -> "TfidfModel":
         rows = vocabulary(df, text, config).collect()  # at most max_features rows
         n_docs = df.count()
-        idf = [log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
-        return TfidfModel(config, [r["term"] for r in rows], idf, n_docs)
+        idf = {r["term"]: log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows}
+        if not idf:
+            return TfidfModel(config, [], [], n_docs, None)
+        # The vocabulary is chosen above; the ML stage is fitted on it alone, to count inside rows.
+        listed = df.sparkSession.createDataFrame([([t],) for t in idf], "_terms array<string>")
+        counts = CountVectorizer(vocabSize=len(idf), inputCol="_terms", outputCol="_tf").fit(listed)
+        terms = counts.vocabulary
+        return TfidfModel(config, terms, [idf[t] for t in terms], n_docs, counts)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``(term_id, term, idf)``, bounded by ``max_features``."""
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf))]
         return spark.createDataFrame(rows, "term_id int, term string, idf double")
 
-    def _counting(self) -> tuple[CountVectorizerModel, ElementwiseProduct]:
-        """The two JVM stages; sending them the vocabulary takes a while, so once per model."""
-        if self._stages is None:
-            counts = CountVectorizerModel.from_vocabulary(self.terms, "_terms", "_tf")
-            scale = ElementwiseProduct(
-                scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf"
-            )
-            self._stages = (counts, scale)
-        return self._stages
-
     def transform(self, df: DataFrame, text: str, output: str = "tfidf") -> DataFrame:
         """Add a struct (indices, values) with the L2-normalised weights of each row.
 
@@ -127,8 +125,11 @@ class TfidfModel:
             return df.withColumn(
                 output, F.struct(F.array().alias("indices"), F.array().alias("values")).cast(empty)
             )
-        counts, scale = self._counting()
-        scaled = scale.transform(counts.transform(df.withColumn("_terms", self.config.terms(F.col(text)))))
+        scale = ElementwiseProduct(
+            scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_tfidf"
+        )
+        listed = df.withColumn("_terms", self.config.terms(F.col(text)))
+        scaled = scale.transform(self.counts.transform(listed))
         # The vectors are opened to arrays; tf * idf / tf gives back the idf of each entry.
         opened = scaled.withColumn("_tf", F.unwrap_udt("_tf")).withColumn("_tfidf", F.unwrap_udt("_tfidf"))
         if self.config.sublinear:
@@ -165,13 +166,15 @@ class TfidfModel:
         return weighted.withColumn(output, F.from_json(as_vector, shape).getField("v")).drop("_w")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """The vocabulary as a small table; the settings as its sibling."""
+        """The vocabulary as a small table, the settings and the counting stage as its siblings."""
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
         c = self.config
         settings = [(c.low, c.high, c.max_features, c.sublinear, c.pattern, list(c.stop_words), self.n_docs)]
         spark.createDataFrame(settings, _SETTINGS).coalesce(1).write.mode("overwrite").json(
             f"{path}/settings"
         )
+        if self.counts is not None:
+            self.counts.write().overwrite().save(f"{path}/counts")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TfidfModel":
@@ -180,7 +183,9 @@ class TfidfModel:
         config = TfidfConfig(
             s["low"], s["high"], s["max_features"], s["sublinear"], s["pattern"], tuple(s["stop_words"])
         )
-        return TfidfModel(config, [r["term"] for r in rows], [r["idf"] for r in rows], s["n_docs"])
+        counts = CountVectorizerModel.load(f"{path}/counts") if rows else None
+        return TfidfModel(
+            config, [r["term"] for r in rows], [r["idf"] for r in rows], s["n_docs"], counts)
 
 
 _SETTINGS = (
