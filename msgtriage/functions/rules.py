@@ -1,20 +1,21 @@
-"""Rule tables compiled to first-match CASE WHEN columns.
+"""Rule tables compiled to first-match CASE WHEN expressions.
 
 A rule is data: a name, conditions and the values it yields. Compiling a table
-gives one narrow expression, so a cascade never shuffles, and CASE WHEN stops at
-the first branch that holds.
+gives one narrow SQL expression over named columns, so a cascade never shuffles,
+CASE WHEN stops at the first branch that holds, and the driver hands Spark one
+expression instead of hundreds of small ones, which counts when a stream plans
+every micro-batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from msgtriage.functions.text import contains_any, contains_word
+from msgtriage.functions.text import contains_any_sql, contains_word_sql, sql_string
 
 MAX_RULES = 10_000
 
@@ -26,15 +27,16 @@ class Condition:
     kind: str  # substring | word | intent | confidence_below
     values: tuple = ()
 
-    def column(self, context: Mapping[str, Column]) -> Column:
+    def sql(self, names: Mapping[str, str]) -> str:
         if self.kind == "substring":
-            return contains_any(context["text"], self.values)
+            return contains_any_sql(names["text"], self.values)
         if self.kind == "word":
-            return contains_word(context["text"], self.values)
+            return contains_word_sql(names["text"], self.values)
         if self.kind == "intent":
-            return F.coalesce(context["intent"].isin(list(self.values)), F.lit(False))
+            listed = ", ".join(map(sql_string, self.values))
+            return f"coalesce(`{names['intent']}` IN ({listed}), false)"
         if self.kind == "confidence_below":
-            return F.coalesce(context["confidence"] < F.lit(self.values[0]), F.lit(False))
+            return f"coalesce(`{names['confidence']}` < {float(self.values[0])}D, false)"
         raise ValueError(f"unknown condition kind {self.kind!r}")
 
 
@@ -63,43 +65,50 @@ class Rule:
     any_of: tuple[Condition, ...] = ()
     yields: Mapping[str, Any] = field(default_factory=dict)
 
-    def column(self, context: Mapping[str, Column]) -> Column:
-        tests = [c.column(context) for c in self.all_of]
+    def sql(self, names: Mapping[str, str]) -> str:
+        tests = [c.sql(names) for c in self.all_of]
         if self.any_of:
-            tests.append(reduce(lambda a, b: a | b, [c.column(context) for c in self.any_of]))
-        return reduce(lambda a, b: a & b, tests, F.lit(True))
+            tests.append("(" + " OR ".join(c.sql(names) for c in self.any_of) + ")")
+        return " AND ".join(tests) or "true"
 
 
-def _value(v: Any, context: Mapping[str, Column]) -> Column:
-    return v(context) if callable(v) else F.lit(v)
+def _value(v: Any, names: Mapping[str, str]) -> str:
+    if callable(v):
+        return v(names)
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, str):
+        return sql_string(v)
+    raise TypeError(f"a rule yields texts and flags, not {type(v).__name__}")
 
 
 def first_match(
-    rules: Sequence[Rule], context: Mapping[str, Column], default: Mapping[str, Any] | None,
+    rules: Sequence[Rule], names: Mapping[str, str], default: Mapping[str, Any] | None,
 ) -> Column:
     """A struct of the first matching rule's ``yields``; null if none and no default.
 
-    A yielded value may be a function of the context (a formatted reason).
+    ``names`` says which columns hold ``text``, ``intent`` and ``confidence``. A
+    yielded value may be a function of them that returns SQL (a formatted reason).
     """
-    names = list(rules[0].yields)
+    fields = list(rules[0].yields)
 
-    def branch(values: Mapping[str, Any]) -> Column:
-        return F.struct(*[_value(values[n], context).alias(n) for n in names])
+    def branch(values: Mapping[str, Any]) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', {_value(values[n], names)}" for n in fields) + ")"
 
-    cascade = reduce(
-        lambda acc, rule: acc.when(rule.column(context), branch(rule.yields)), rules, F
-    )
-    return cascade.otherwise(branch(default)) if default is not None else cascade
+    whens = " ".join(f"WHEN {rule.sql(names)} THEN {branch(rule.yields)}" for rule in rules)
+    otherwise = f" ELSE {branch(default)}" if default is not None else ""
+    return F.expr(f"CASE {whens}{otherwise} END")
 
 
-def lexicon_label(lowered: Column, lexicon: Sequence[tuple[str, Sequence[str]]]) -> Column:
+def lexicon_label(lowered: str, lexicon: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """The first entry, in order, one of whose keywords occurs in the lower-cased text.
 
-    Pass a column that already holds the lower-cased text, so it is lowered once.
+    Takes the name of a column that already holds the lower-cased text, so it is lowered once.
     """
-    return reduce(
-        lambda acc, entry: acc.when(contains_any(lowered, entry[1]), F.lit(entry[0])), lexicon, F
+    whens = " ".join(
+        f"WHEN {contains_any_sql(lowered, keywords)} THEN {sql_string(label)}" for label, keywords in lexicon
     )
+    return F.expr(f"CASE {whens} END")
 
 
 def lexicon_from_table(table: DataFrame) -> list[tuple[str, list[str]]]:

@@ -136,8 +136,27 @@ def escape_regex(literal: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", literal)
 
 
+def sql_string(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any_sql(name: str, needles: Iterable[str]) -> str:
+    """``contains_any`` on a named column, as SQL text."""
+    tests = " OR ".join(f"contains(`{name}`, {sql_string(n)})" for n in needles)
+    return f"coalesce({tests}, false)" if tests else "false"
+
+
+def contains_word_sql(name: str, phrases: Sequence[str]) -> str:
+    """``contains_word`` on a named column, as SQL text."""
+    padded = f"concat(' ', coalesce(`{name}`, ''), ' ')"
+    return f"({contains_any_sql(name, phrases)} AND {padded} RLIKE {sql_string(word_pattern(phrases))})"
+
+
 def contains_any(c: Column | str, needles: Iterable[str]) -> Column:
     """Any needle is a substring; null text does not match."""
+    if isinstance(c, str):
+        return F.expr(contains_any_sql(c, needles))
     tests = [F.contains(_col(c), F.lit(n)) for n in needles]
     return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
@@ -153,6 +172,8 @@ def contains_word(c: Column | str, phrases: Sequence[str]) -> Column:
     literal pattern per rule, so it is compiled once; it only runs on texts that
     pass the far cheaper substring test.
     """
+    if isinstance(c, str):
+        return F.expr(contains_word_sql(c, phrases))
     padded = F.concat(F.lit(" "), text_or_empty(c), F.lit(" "))
     return contains_any(c, phrases) & padded.rlike(word_pattern(phrases))
 

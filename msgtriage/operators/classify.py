@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from msgtriage.functions.text import contains_any, explode_structs, let, normalize_text, tokenize
+from msgtriage.functions.text import contains_any, explode_structs, let, normalize_text, sql_string, tokenize
 from msgtriage.operators.labeling import heuristic_intent
 from msgtriage.operators.tfidf import PRODUCTION_CLASSIFIER, SIMPLE_CLASSIFIER, TfidfConfig, TfidfModel
 from msgtriage.session import materialize
@@ -147,17 +147,18 @@ class LinearWeights:
     weights: Mapping[str, Mapping[str, float]]
     bias: Mapping[str, float] = field(default_factory=dict)
 
-    def scores(self, padded: Column) -> Column:
+    def scores(self, padded: str) -> Column:
         """One (label, score) entry per label, in label order."""
-        def score(label: str) -> Column:
-            total = F.lit(float(self.bias.get(label, 0.0)))
+        def score(label: str) -> str:
+            total = f"{float(self.bias.get(label, 0.0))}D"
             for term, weight in self.weights[label].items():
-                rest = F.replace(padded, F.lit(f" {term} "), F.lit(""))
-                hits = (F.char_length(padded) - F.char_length(rest)) / F.lit(len(term) + 2)
-                total = total + hits * F.lit(float(weight))
-            return F.struct(F.lit(label).alias("label"), total.alias("score"))
+                spaced = sql_string(f" {term} ")
+                rest = f"char_length(replace(`{padded}`, {spaced}, ''))"
+                hits = f"((char_length(`{padded}`) - {rest}) / {len(term) + 2}D)"
+                total += f" + {hits} * {float(weight)}D"
+            return f"named_struct('label', {sql_string(label)}, 'score', {total})"
 
-        return F.array(*[score(label) for label in sorted(self.weights)])
+        return F.expr(f"array({', '.join(score(label) for label in sorted(self.weights))})")
 
     def probabilities(self, df: DataFrame, text: str, key: str) -> DataFrame:
         """One row per message and label."""
@@ -167,7 +168,7 @@ class LinearWeights:
         # Words separated by two spaces, so that neighbours can match one after the other.
         padded = F.concat(F.lit(" "), F.array_join(tokenize(text), "  "), F.lit(" "))
         staged = df.withColumn("_padded", padded)
-        staged = staged.withColumn("_s", self.scores(F.col("_padded")))
+        staged = staged.withColumn("_s", self.scores("_padded"))
         top = F.array_max(F.transform("_s", lambda s: s["score"]))
         powers = let(top, lambda m: F.transform("_s", lambda s: F.exp(s["score"] - m)))
         shares = let(powers, lambda e: let(

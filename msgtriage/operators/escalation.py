@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from msgtriage.functions.rules import Rule, first_match
-from msgtriage.functions.text import contains_any
+from msgtriage.functions.text import contains_any, sql_string
 
 DECISION_COLUMNS = ("should_escalate", "reason", "risk_level", "trigger_rule")
 
@@ -16,20 +16,18 @@ def decide(
     df: DataFrame, rules: Sequence[Rule], default: Mapping, text: str = "customer_text",
 ) -> DataFrame:
     """The first rule that holds decides; needs ``intent`` and ``confidence``."""
-    context = {
-        "text": F.col("_lower"), "intent": F.col("intent"), "confidence": F.col("confidence"),
-    }
+    names = {"text": "_lower", "intent": "intent", "confidence": "confidence"}
     return (
         df.withColumn("_lower", F.lower(F.col(text)))
-        .withColumn("_decision", first_match(rules, context, default))
+        .withColumn("_decision", first_match(rules, names, default))
         .select(*df.columns, "_decision.*")
     )
 
 
 def low_confidence_reason(pattern: str, threshold: float):
     """a reason that quotes the confidence and the threshold to two decimals."""
-    def reason(context: Mapping[str, Column]) -> Column:
-        return F.format_string(pattern, context["confidence"], F.lit(threshold))
+    def reason(names: Mapping[str, str]) -> str:
+        return f"format_string({sql_string(pattern)}, `{names['confidence']}`, {float(threshold)}D)"
 
     return reason
 
@@ -39,7 +37,7 @@ def keyword_decision(
     text: str = "customer_text",
 ) -> DataFrame:
     """Escalate on any keyword."""
-    hit = contains_any(F.col("_lower"), keywords)
+    hit = contains_any("_lower", keywords)
     flagged = df.withColumn("_lower", F.lower(F.col(text))).withColumn("should_escalate", hit)
     return flagged.select(
         *df.columns,

@@ -24,7 +24,7 @@ Lexicon = Sequence[tuple[str, Sequence[str]]]
 def with_label(df: DataFrame, lexicon: Lexicon, text: str, label: str = "intent") -> DataFrame:
     """The first-match label of ``text``; null where no entry matches."""
     lowered = df.withColumn("_lower", F.lower(F.col(text)))
-    return lowered.withColumn(label, lexicon_label(F.col("_lower"), lexicon)).drop("_lower")
+    return lowered.withColumn(label, lexicon_label("_lower", lexicon)).drop("_lower")
 
 
 def weak_labels(
@@ -61,10 +61,10 @@ def training_set(
 
 def stratum_of(df: DataFrame, rules: Sequence[Rule], default: dict, text: str) -> DataFrame:
     """Escalation flag, its reason and the difficulty stratum of a labelled row."""
-    context = {"text": F.col("_lower"), "intent": F.col("intent")}
+    names = {"text": "_lower", "intent": "intent"}
     return (
         df.withColumn("_lower", F.lower(F.col(text)))
-        .withColumn("_s", first_match(rules, context, default))
+        .withColumn("_s", first_match(rules, names, default))
         .select(*df.columns, "_s.*")
     )
 

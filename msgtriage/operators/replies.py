@@ -7,17 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgtriage.functions.rules import Rule, first_match
-from msgtriage.functions.text import blank_handles, sanitize_reply, truncate, within_limit
+from msgtriage.functions.text import blank_handles, sanitize_reply, sql_string, truncate, within_limit
 
 GROUNDED_BAND = (26, 275)  # fixed value: lengths of a historical reply fit for reuse
 
 
-def escalation_reply(trigger: Column, templates: Mapping[str, str], general: str) -> Column:
+def escalation_reply(trigger: str, templates: Mapping[str, str], general: str) -> Column:
     """H1: the hand-over text of the rule that fired, else the general one."""
-    cascade = F
-    for name, template in templates.items():
-        cascade = cascade.when(trigger == name, F.lit(template))
-    return cascade.otherwise(F.lit(general))
+    whens = " ".join(f"WHEN {sql_string(n)} THEN {sql_string(t)}" for n, t in templates.items())
+    return F.expr(f"CASE `{trigger}` {whens} ELSE {sql_string(general)} END")
 
 
 def route_topic(df: DataFrame, topics: Sequence[Rule], text: str = "customer_text") -> DataFrame:
@@ -25,10 +23,10 @@ def route_topic(df: DataFrame, topics: Sequence[Rule], text: str = "customer_tex
 
     Handles are blanked first, so a word inside a handle is not a topic word.
     """
-    context = {"text": F.col("_bare"), "intent": F.col("intent")}
+    names = {"text": "_bare", "intent": "intent"}
     return (
         df.withColumn("_bare", blank_handles(F.lower(F.col(text))))
-        .withColumn("_topic", first_match(topics, context, None))
+        .withColumn("_topic", first_match(topics, names, None))
         .select(
             *df.columns,
             F.col("_topic.topic").alias("topic"), F.col("_topic.template").alias("topic_reply"),
@@ -55,7 +53,7 @@ def draft_reply(
     grounded = routed.withColumn("_best", sanitize_reply(best))
     automatic = F.coalesce(F.col("topic_reply"), grounded_reply(F.col("_best")), F.lit(default))
     reply = F.when(
-        F.col("should_escalate"), escalation_reply(F.col("trigger_rule"), templates, general)
+        F.col("should_escalate"), escalation_reply("trigger_rule", templates, general)
     ).otherwise(automatic)
     return grounded.select(*df.columns, "topic", truncate(reply).alias("drafted_reply"))
 
