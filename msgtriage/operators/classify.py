@@ -82,9 +82,10 @@ class IntentModel:
         The sum of balanced weights is the number of rows, so the penalty that
         corresponds to ``c`` is 1 / (c * rows).
         """
-        rows = labelled.where(F.col(label).isNotNull()).select(
+        # Read four times below; the plan that selects and cleans them runs once.
+        rows = materialize(labelled.where(F.col(label).isNotNull()).select(
             normalize_text(text).alias("_clean"), F.col(label).alias("_label")
-        )
+        ), "training")
         weights = class_weights(rows, "_label").orderBy("_label").limit(MAX_CLASSES + 1).collect()
         if not 2 <= len(weights) <= MAX_CLASSES:
             raise ValueError(f"a classifier needs 2 to {MAX_CLASSES} classes, not {len(weights)}")

@@ -22,7 +22,9 @@ from msgtriage.session import work_dir
 SCORE_DIGITS = 6                    # ranking precision; ties go to the lower case id
 REPORTED_DIGITS = 4                 # fixed value: precision of reported scores
 MAX_BROADCAST_POSTINGS = 2_000_000  # about 100 MB as a hashed relation
+MAX_BROADCAST_CHARACTERS = 200_000_000
 POSTINGS_PER_TASK = 500_000
+MAX_TASKS = 20_000
 
 
 @dataclass
@@ -32,6 +34,7 @@ class CaseIndex:
     model: TfidfModel
     cases: DataFrame      # doc_id, historical_query, historical_resolution, tfidf
     postings: int         # an upper bound on the entries of all vectors
+    characters: int       # length of all texts together
 
     @staticmethod
     def build(
@@ -51,7 +54,8 @@ class CaseIndex:
         model = TfidfModel.fit(usable, "historical_query", config)
         cases = model.transform(usable, "historical_query")
         if path is None:
-            return CaseIndex(model, cases, postings_bound(usable, "historical_query", config))
+            bound = postings_bound(usable, "historical_query", config)
+            return CaseIndex(model, cases, bound, _text_size(usable))
         cases.write.mode("overwrite").parquet(f"{path}/cases")
         model.save(spark, f"{path}/model")
         return CaseIndex._stored(spark, path, model)
@@ -64,7 +68,12 @@ class CaseIndex:
     def _stored(spark: SparkSession, path: str, model: TfidfModel) -> "CaseIndex":
         cases = spark.read.parquet(f"{path}/cases")
         size = cases.agg(F.sum(F.size("tfidf.indices"))).first()[0] or 0
-        return CaseIndex(model, cases, size)
+        return CaseIndex(model, cases, size, _text_size(cases))
+
+
+def _text_size(cases: DataFrame) -> int:
+    length = F.char_length("historical_query") + F.char_length("historical_resolution")
+    return int(cases.agg(F.sum(length)).first()[0] or 0)
 
 
 def postings_bound(df: DataFrame, text: str, config: TfidfConfig) -> int:
@@ -86,17 +95,24 @@ def _best(scored: DataFrame, query: str, k: int) -> DataFrame:
 
 
 def _tasks(spark: SparkSession, size: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / POSTINGS_PER_TASK))
+    """Tasks by the amount of work; a huge table gets larger tasks, which spill, not ever more of them."""
+    wanted = min(ceil(size / POSTINGS_PER_TASK), MAX_TASKS)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
 
 
 def place(df: DataFrame, key: str, text: str, config: TfidfConfig) -> tuple[DataFrame, int]:
     """Rows partitioned by their id, into tasks of bounded work, and the bound on their postings.
 
     Everything the search does with a row then happens in its own task: the text
-    is the smallest form of the row, so it is what moves, once.
+    is the smallest form of the row, so it is what moves, once: the search and the
+    join of its results read the same exchange. A row without an id is an error,
+    and saying so here also keeps a null test of one reader from splitting the two.
     """
     size = postings_bound(df, text, config)
-    return df.repartition(_tasks(df.sparkSession, size), key), size
+    kind = df.schema[key].dataType
+    no_id = F.raise_error(F.lit(f"a row has no {key}")).cast(kind)
+    sure = df.withColumn(key, F.coalesce(F.col(key), no_id, F.lit("0").cast(kind)))
+    return sure.repartition(_tasks(df.sparkSession, size), key), size
 
 
 def scores(large: DataFrame, large_key: str, small: DataFrame, small_key: str) -> DataFrame:
@@ -170,6 +186,9 @@ def retrieve(
         queries, size = place(queries, key, text, index.model.config)
     best = rank_cases(queries, index, k, key, text, max_broadcast, size)
     texts = index.cases.select("doc_id", "historical_query", "historical_resolution")
+    if index.characters <= MAX_BROADCAST_CHARACTERS:
+        # A case may be the best one of very many messages; broadcast, it skews nothing.
+        texts = F.broadcast(texts)
     case = F.struct(
         "rank", F.round("score", REPORTED_DIGITS).alias("similarity_score"), "doc_id",
         "historical_query", "historical_resolution",

@@ -131,6 +131,22 @@ def test_one_exchange_by_message_and_no_pair_shuffle(index, queries):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
 
 
+def test_search_and_join_back_share_one_exchange(index, queries):
+    index.postings = 0
+    answers = retrieve(queries, index, 3)
+    answers.collect()
+    final = plan_of(answers).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    keyed = [l for l in final.splitlines() if "Exchange hashpartitioning" in l and "Reused" not in l]
+    assert len(keyed) == 1
+
+
+def test_a_message_without_an_id_is_an_error(spark, index):
+    df = spark.createDataFrame([(None, "w1 w2")], "id long, customer_text string")
+    with pytest.raises(Exception, match="a row has no id"):
+        retrieve(df, index, 1).collect()
+
+
 def test_query_side_plan_shuffles_only_the_best(index, queries):
     index.postings = 10**9
     plan = plan_of(rank_cases(queries, index, 3))
@@ -166,5 +182,12 @@ def test_empty_corpus(spark, queries):
     assert len(rows) == len(QUERIES) and all(r["retrieved"] == [] for r in rows)
 
 
+def test_texts_too_large_to_broadcast(index, queries, monkeypatch):
+    index.postings = 0
+    expected = sorted(map(str, retrieve(queries, index, 3).collect()))
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_CHARACTERS", 0)
+    assert sorted(map(str, retrieve(queries, index, 3).collect())) == expected
+
+
 def test_default_stop_words_come_from_spark(spark):
     assert "the" in retriever_config().stop_words
