@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SPACES = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
@@ -53,18 +55,20 @@ LEXICON_2 = {
 # --- the tables in their parts ----------------------------------------------
 
 MESSAGES = """messages AS (
-  SELECT conv_id * 1000 + turn AS tweet_id,
+  SELECT conv_id * 4294967296 + turn AS tweet_id,
          CASE WHEN role = 'assistant' THEN 'brand' ELSE role || conv_id::VARCHAR END AS author_id,
          role = 'user' AS inbound, text,
-         CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS in_response_to_tweet_id
+         CASE WHEN turn > 0 THEN conv_id * 4294967296 + turn - 1 END AS in_response_to_tweet_id
   FROM conversations)"""
 DOCS = "docs AS (SELECT doc_id AS id, text AS customer_text, lang, source FROM documents)"
 TURNS = f"{MESSAGES}, turns AS (SELECT tweet_id AS id, text AS customer_text FROM messages WHERE inbound)"
 GOLD = f"""{DOCS}, gold AS (
   SELECT id, customer_text, lang AS intent, toxic = 1 AS should_escalate,
          CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS escalation_reason,
-         source AS difficulty_stratum
+         source AS difficulty_stratum, substring(customer_text, 1, 280) AS reference_resolution
   FROM docs JOIN labels ON id = doc_id)"""
+SEEDS = """seeds AS (
+  SELECT * REPLACE (row_number() OVER (ORDER BY id) AS id) FROM gold WHERE should_escalate)"""
 
 
 def pairs_cte(relevant: bool) -> str:
@@ -83,7 +87,7 @@ CORPUS = f"""{pairs_cte(False)}, corpus AS (
   QUALIFY row_number() OVER (PARTITION BY customer_text ORDER BY response_id) = 1)"""
 KEPT = f"""{GOLD}, kept AS (
   SELECT id, customer_text FROM docs
-  WHERE trim(customer_text) NOT IN (SELECT trim(customer_text) FROM gold))"""
+  WHERE {trim_ends('customer_text')} NOT IN (SELECT {trim_ends('customer_text')} FROM gold))"""
 WEAK = f"""weak AS (
   SELECT * FROM (SELECT id, customer_text, {lexicon('lower(customer_text)', LEXICON)} AS intent FROM kept
                  WHERE length(customer_text) > 20) WHERE intent IS NOT NULL)"""
@@ -223,12 +227,12 @@ TOPIC_REPLY = """CASE topic WHEN 'heat' THEN 'Let it cool down first: settings >
   WHEN 'backup' THEN 'Open settings > storage to see what fills it.'
   WHEN 'feedback' THEN 'Thank you for telling us.'
   WHEN 'out_of_scope' THEN 'We can only help with our own products.' END"""
-HANDOVER = """CASE trigger_rule WHEN 'HAZARD' THEN 'Your safety comes first. Please send us a DM.'
-  WHEN 'THREAT' THEN 'We take this seriously. A specialist will read your case; please send a DM.'
-  WHEN 'SENSITIVE' THEN 'To protect your account please visit https://example.com/recover now.'
-  WHEN 'DISPUTE' THEN 'We would like to look into this charge with you. Send a DM.'
-  WHEN 'FRAGMENT' THEN 'Could you tell us a little more about it?'
-  ELSE 'We want to help. Please send us a direct message with the details.' END"""
+HANDOVER = """CASE trigger_rule WHEN 'HAZARD' THEN 'Please stop using it and write to us in a DM; your safety matters most.'
+  WHEN 'THREAT' THEN 'A colleague will read this today. Send a DM so that we can reach you.'
+  WHEN 'SENSITIVE' THEN 'Accounts are handled at https://example.com/recover and nowhere else.'
+  WHEN 'DISPUTE' THEN 'Let us go through this charge together in a DM.'
+  WHEN 'FRAGMENT' THEN 'A few more words about it would help us.'
+  ELSE 'Write to us directly with the details and we will look into it.' END"""
 
 
 def sanitize(c: str) -> str:
@@ -243,7 +247,7 @@ def drafted_sql(best: str) -> str:
 drafted AS (
   SELECT *, substring(CASE WHEN should_escalate THEN {HANDOVER} ELSE coalesce(
       {TOPIC_REPLY}, CASE WHEN length(grounded) BETWEEN 26 AND 275 THEN grounded END,
-      'We''re here to help! Which version do you use?') END, 1, 280) AS drafted_reply
+      'Which version is this about? That will help us find the cause.') END, 1, 280) AS drafted_reply
   FROM routed)"""
 
 
@@ -263,7 +267,7 @@ def simple_sql(source: str) -> str:
     return f"""simple AS (
   SELECT s.id, s.customer_text, b.intent, b.confidence, coalesce({hit.replace('customer_text', 's.customer_text')}, false) AS should_escalate,
          coalesce(round(r.score, 4), 0) AS retrieval_score,
-         substring(coalesce(c.agent_text, 'We are here to help. Send us a DM.'), 1, 280) AS drafted_reply
+         substring(coalesce(c.agent_text, 'Send us a DM and we will help.'), 1, 280) AS drafted_reply
   FROM {source} s JOIN lin_best b ON b.id = s.id LEFT JOIN ranked r ON r.id = s.id AND r.rank = 1
   LEFT JOIN corpus c ON c.inquiry_id = r.doc_id)"""
 
@@ -310,7 +314,7 @@ detailed AS (
          p.risk_level, p.trigger_rule, p.drafted_reply, g AS groundedness, a AS actionability,
          t AS brand_tone, round((g + a + t) / 3.0::DOUBLE, 2) AS judge_overall
   FROM gold JOIN prod_rated p USING (id))"""
-_TRIVIAL_REPLY = "'Thank you for telling us! Please DM us your version.'"
+_TRIVIAL_REPLY = "'Noted. Tell us the version in a DM.'"
 ALL_SYSTEMS = f"""{DETAILED}, {simple_sql('asked')},
 answers AS (
   SELECT 'trivial' AS system, id, customer_text, 'en' AS intent, false AS should_escalate,
@@ -394,6 +398,53 @@ cosines AS (
   LEFT JOIN dots ON dots.id = drafts.id
   LEFT JOIN norms nr ON nr.id = drafts.id AND nr.side = 'r'
   LEFT JOIN norms nh ON nh.id = drafts.id AND nh.side = 'h')"""
+_LEXICAL_TABLES = (
+    "drafts", "toks", "sizes", "r_grams", "h_grams", "hits", "logs", "bleus", "matches", "walk", "lcs", "rouges",
+    "side_tf", "side_idf", "side_w", "norms", "dots", "cosines")
+
+
+def lexical_of(system: str) -> str:
+    """The lexical tables of one system, with its name at the end of theirs."""
+    tokens = DRAFT_TOKENS[DRAFT_TOKENS.index("toks AS"):]
+    tables = f"""drafts AS (
+  SELECT id, reference_resolution AS reference, drafted_reply AS hypothesis
+  FROM gold JOIN answers USING (id) WHERE system = '{system}'), {tokens}, {BLEU}, {ROUGE}, {COSINE}"""
+    return re.sub(rf"\b({'|'.join(_LEXICAL_TABLES)})\b", rf"\1_{system}", tables)
+
+
+def lexical_rows(system: str) -> str:
+    return " ".join(
+        f"UNION ALL SELECT '{system}', 'lexical', '{metric}', round(avg({column}), 4) FROM {name}_{system}"
+        for metric, column, name in (("bleu_4", "b", "bleus"), ("rouge_l", "f", "rouges"), ("cosine_similarity", "c", "cosines")))
+
+
+SYSTEMS = ("trivial", "simple", "production")
+ALL_METRICS = f"""{ALL_SYSTEMS}, {', '.join(map(lexical_of, SYSTEMS))},
+cls AS (
+  SELECT system, label, sum(actual) AS actual, sum(given) AS given, sum(hit) AS hit FROM (
+    SELECT system, gold_intent AS label, 1 AS actual, 0 AS given, (gold_intent = intent)::INT AS hit FROM predictions
+    UNION ALL SELECT system, intent, 0, 1, 0 FROM predictions) GROUP BY ALL),
+cls_rates AS (SELECT system, coalesce(hit / nullif(given, 0), 0) AS p, coalesce(hit / nullif(actual, 0), 0) AS r FROM cls),
+long AS (
+  SELECT system, 'intent' AS metric_group, 'accuracy' AS metric, round(avg((gold_intent = intent)::INT), 4) AS value
+  FROM predictions GROUP BY system
+  UNION ALL SELECT system, 'intent', 'macro_precision', round(avg(p), 4) FROM cls_rates GROUP BY system
+  UNION ALL SELECT system, 'intent', 'macro_recall', round(avg(r), 4) FROM cls_rates GROUP BY system
+  UNION ALL SELECT system, 'intent', 'macro_f1',
+    round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 4) FROM cls_rates GROUP BY system
+  UNION ALL SELECT system, 'escalation', 'precision', round(p, 4) FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'recall', round(r, 4) FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'f1', round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'false_auto_handle_rate', round(far, 4) FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'tp', tp FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'fp', fp FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'fn', fn FROM esc_rates
+  UNION ALL SELECT system, 'escalation', 'tn', tn FROM esc_rates
+  UNION ALL SELECT system, 'rubric', 'groundedness', round(avg(g), 2) FROM predictions GROUP BY system
+  UNION ALL SELECT system, 'rubric', 'actionability', round(avg(a), 2) FROM predictions GROUP BY system
+  UNION ALL SELECT system, 'rubric', 'brand_tone', round(avg(t), 2) FROM predictions GROUP BY system
+  UNION ALL SELECT system, 'rubric', 'judge_overall', round(avg(o), 2) FROM predictions GROUP BY system
+  {' '.join(map(lexical_rows, SYSTEMS))})"""
 RATINGS = """ratings AS (
   SELECT o_orderstatus AS dimension, left(o_orderpriority, 1)::INT AS a,
          least(floor(o_totalprice / 100000) + 1, 5)::INT AS b FROM orders)"""
@@ -421,6 +472,8 @@ candidates AS (
     SELECT id, customer_text, {lexicon('lower(customer_text)', LEXICON_2)} AS intent FROM repaired
     WHERE length(customer_text) BETWEEN 20 AND 260) WHERE intent IS NOT NULL)"""
 QUOTAS = "quotas(intent, target) AS (VALUES ('en', 40), ('de', 25), ('fr', 30), ('es', 12))"
+ROOM = f"""{QUOTAS}, used AS (SELECT intent, count(*) AS used FROM seeds GROUP BY intent),
+room AS (SELECT intent, coalesce(target, 20) - coalesce(used, 0) AS room FROM quotas FULL JOIN used USING (intent))"""
 
 
 def stratum_columns(text: str) -> str:
@@ -456,22 +509,28 @@ ORACLES: dict[str, str] = {
     "dedup_keep_first": f"WITH {DOCS} SELECT * FROM docs "
                         "QUALIFY row_number() OVER (PARTITION BY customer_text ORDER BY id) = 1",
     "capped_pairs": f"WITH {pairs_cte(False)} SELECT * FROM "
-                    "(SELECT * FROM pairs ORDER BY response_id LIMIT 15000) "
+                    "(SELECT * FROM pairs ORDER BY response_id LIMIT 100) "
                     "QUALIFY row_number() OVER (PARTITION BY customer_text ORDER BY response_id) = 1",
     "weak_training_set": f"""WITH {KEPT}, {WEAK}, both_parts AS (
   SELECT 0 AS priority, id, customer_text, intent FROM gold
-  UNION ALL SELECT 1, id, customer_text, intent FROM weak)
-SELECT * FROM both_parts ORDER BY priority, id LIMIT 5000""",
+  UNION ALL (SELECT 1, id, customer_text, intent FROM weak ORDER BY id
+             LIMIT greatest(0, 5000 - (SELECT count(*) FROM gold))))
+SELECT * FROM both_parts""",
     "quota_sample": f"""WITH {CANDIDATES}, {QUOTAS}, accepted AS (
   SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY id) AS k FROM candidates) c
   JOIN quotas USING (intent) WHERE k <= target)
 SELECT row_number() OVER (ORDER BY id) AS id, id AS tweet_id, intent, customer_text
 FROM (SELECT * FROM accepted ORDER BY id LIMIT 200)""",
-    "topup_fill": f"""WITH {GOLD}, have AS (SELECT count(*) AS n FROM gold)
+    "quota_sample_after_seeds": f"""WITH {CANDIDATES}, {GOLD}, {SEEDS}, {ROOM}, accepted AS (
+  SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY id) AS k FROM candidates) c
+  JOIN room USING (intent) WHERE k <= room)
+SELECT (SELECT count(*) FROM seeds) + row_number() OVER (ORDER BY id) AS id, id AS tweet_id, intent, customer_text
+FROM (SELECT * FROM accepted ORDER BY id LIMIT greatest(0, 200 - (SELECT count(*) FROM seeds)))""",
+    "topup_fill": f"""WITH {GOLD}, have AS (SELECT count(*) AS n, max(id) AS last FROM gold)
 SELECT id, customer_text, intent, should_escalate FROM gold
 UNION ALL
-SELECT i + 1, 'My device has issues after 11.0.' || (i % 4)::VARCHAR, 'en', false
-FROM (SELECT unnest(range(n, 500)) AS i FROM have)""",
+SELECT last + 1 + i - n, 'My device has issues after 11.0.' || (i % 4)::VARCHAR, 'en', false
+FROM (SELECT unnest(range(n, 500)) AS i, n, last FROM have)""",
     "sample_cases": f"WITH {GOLD} SELECT * FROM gold ORDER BY id LIMIT 5",
     "normalize_text": "SELECT doc_id AS id, " + collapse(
         f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '@{W}+', ' ', 'g'), "
@@ -549,7 +608,7 @@ SELECT id, intent, round(confidence, 6) AS confidence, should_escalate,
        'KEYWORD_RULE' AS trigger_rule, drafted_reply, retrieval_score FROM simple""",
     "production_triage": f"""WITH {DOCS}, {production_sql('docs')}
 SELECT {FULL}, topic, retrieval_score, coalesce(cases, '') AS cases FROM drafted LEFT JOIN case_lists USING (id)""",
-    "stream_triage": "WITH turns AS (SELECT conv_id * 1000 + turn AS id, text AS customer_text FROM conversations "
+    "stream_triage": "WITH turns AS (SELECT conv_id * 4294967296 + turn AS id, text AS customer_text FROM conversations "
                      f"WHERE role = 'user'), {production_sql('turns')} SELECT {FULL}, retrieval_score FROM drafted",
     "confusion_counts": f"WITH {LABELLED} SELECT truth, predicted, count(*) AS n FROM labelled GROUP BY ALL",
     "accuracy": f"WITH {LABELLED} SELECT round(avg((truth = predicted)::INT), 4) AS accuracy FROM labelled",
@@ -586,35 +645,13 @@ WHERE gold_intent = 'en' AND (NOT intent_match OR NOT escalation_match)""",
     "explore_count": f"WITH {DETAILED} SELECT count(*) AS n FROM detailed WHERE intent_match AND escalation_match",
     "facet_values": f"""WITH {GOLD} SELECT DISTINCT 'difficulty_stratum' AS facet, difficulty_stratum AS value FROM gold
 WHERE difficulty_stratum IS NOT NULL UNION ALL SELECT DISTINCT 'gold_intent', intent FROM gold WHERE intent IS NOT NULL""",
-    "system_comparison": f"""WITH {ALL_SYSTEMS},
-cls AS (
-  SELECT system, label, sum(actual) AS actual, sum(given) AS given, sum(hit) AS hit FROM (
-    SELECT system, gold_intent AS label, 1 AS actual, 0 AS given, (gold_intent = intent)::INT AS hit FROM predictions
-    UNION ALL SELECT system, intent, 0, 1, 0 FROM predictions) GROUP BY ALL),
-cls_rates AS (SELECT system, coalesce(hit / nullif(given, 0), 0) AS p, coalesce(hit / nullif(actual, 0), 0) AS r FROM cls),
-long AS (
-  SELECT system, 'intent' AS metric_group, 'accuracy' AS metric, round(avg((gold_intent = intent)::INT), 4) AS value
-  FROM predictions GROUP BY system
-  UNION ALL SELECT system, 'intent', 'macro_precision', round(avg(p), 4) FROM cls_rates GROUP BY system
-  UNION ALL SELECT system, 'intent', 'macro_recall', round(avg(r), 4) FROM cls_rates GROUP BY system
-  UNION ALL SELECT system, 'intent', 'macro_f1',
-    round(avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 4) FROM cls_rates GROUP BY system
-  UNION ALL SELECT system, 'escalation', 'precision', round(p, 4) FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'recall', round(r, 4) FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'f1', round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'false_auto_handle_rate', round(far, 4) FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'tp', tp FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'fp', fp FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'fn', fn FROM esc_rates
-  UNION ALL SELECT system, 'escalation', 'tn', tn FROM esc_rates
-  UNION ALL SELECT system, 'rubric', 'groundedness', round(avg(g), 2) FROM predictions GROUP BY system
-  UNION ALL SELECT system, 'rubric', 'actionability', round(avg(a), 2) FROM predictions GROUP BY system
-  UNION ALL SELECT system, 'rubric', 'brand_tone', round(avg(t), 2) FROM predictions GROUP BY system
-  UNION ALL SELECT system, 'rubric', 'judge_overall', round(avg(o), 2) FROM predictions GROUP BY system)
+    "system_comparison": f"""WITH RECURSIVE {ALL_METRICS}
 SELECT metric_group, metric, max(value) FILTER (system = 'trivial')::DOUBLE AS trivial,
        max(value) FILTER (system = 'simple')::DOUBLE AS simple,
        max(value) FILTER (system = 'production')::DOUBLE AS production
 FROM long GROUP BY metric_group, metric""",
+    "metrics_through_json": f"""WITH RECURSIVE {ALL_METRICS}
+SELECT system, metric_group, metric, value::DOUBLE AS value FROM long""",
     "recall_vs_far": f"""WITH {ALL_SYSTEMS}
 SELECT system, 'recall_pct' AS measure, round(r * 100, 4)::DOUBLE AS value FROM esc_rates
 UNION ALL SELECT system, 'far_pct', round(far * 100, 4)::DOUBLE FROM esc_rates""",
@@ -640,4 +677,28 @@ accepted AS (
   JOIN quotas USING (intent) WHERE k <= target ORDER BY response_id LIMIT 200)
 SELECT row_number() OVER (ORDER BY response_id) AS id, customer_text, intent,
        {stratum_columns('customer_text')}, reference_resolution FROM accepted""",
+    "evaluation_set_after_seeds": f"""WITH {CORPUS}, {GOLD}, {SEEDS}, {ROOM}, repaired AS (
+  SELECT response_id, {repair('customer_text')} AS customer_text, {repair('agent_text')} AS reference_resolution
+  FROM corpus),
+candidates AS (
+  SELECT * FROM (SELECT *, {lexicon('lower(customer_text)', LEXICON_2)} AS intent FROM repaired
+    WHERE length(customer_text) BETWEEN 20 AND 260) WHERE intent IS NOT NULL),
+accepted AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY response_id) AS k FROM candidates)
+  JOIN room USING (intent) WHERE k <= room ORDER BY response_id LIMIT greatest(0, 200 - (SELECT count(*) FROM seeds)))
+SELECT id, customer_text, intent, should_escalate, escalation_reason, difficulty_stratum, reference_resolution FROM seeds
+UNION ALL BY NAME
+SELECT (SELECT count(*) FROM seeds) + row_number() OVER (ORDER BY response_id) AS id, customer_text, intent,
+       {stratum_columns('customer_text')}, reference_resolution FROM accepted""",
+    "messages_through_csv": f"""WITH {MESSAGES} SELECT tweet_id, author_id, inbound, text,
+  NULL::VARCHAR AS response_tweet_id, in_response_to_tweet_id FROM messages""",
+    "evaluation_items_through_json": f"""WITH {GOLD} SELECT id, customer_text, intent, should_escalate,
+  escalation_reason, difficulty_stratum, reference_resolution FROM gold""",
+    "calibration_through_json": """WITH scored AS (
+  SELECT o_orderkey::INT AS item_id, left(o_orderpriority, 1)::INT AS a,
+         least(floor(o_totalprice / 100000) + 1, 5)::INT AS b FROM orders)
+SELECT item_id, 'groundedness' AS dimension, a AS rater_a, b AS rater_b FROM scored
+UNION ALL SELECT item_id, 'actionability', b, b FROM scored
+UNION ALL SELECT item_id, 'brand_tone', 6 - a, a FROM scored""",
+    "predictions_through_csv": f"WITH {DETAILED} SELECT * EXCLUDE (customer_text, trigger_rule) FROM detailed",
 }

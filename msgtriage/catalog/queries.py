@@ -9,11 +9,13 @@ raters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from msgtriage import schemas
 from msgtriage.functions import text as tx
 from msgtriage.operators import (
     agreement as ag, classify, escalation, labeling, lexical, limits, metrics, pairs, replies, report,
@@ -22,9 +24,16 @@ from msgtriage.operators import (
 from msgtriage.packs import demo
 from msgtriage.plans import dataprep, evaluation, triage
 from msgtriage.session import materialize, work_dir
+from msgtriage.sources import readers, writers
+from msgtriage.sources.contract import validate_input
 from msgtriage.sources.readers import drop_incomplete_pairs, spread_rows
 from msgtriage.streaming import triage_stream as streaming
 
+#: More turns than a conversation can have, so that message ids are unique.
+TURNS = 1 << 32
+#: Pairs that the capped query keeps; fewer than there are.
+PAIR_CAP = 100
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -42,7 +51,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def raw_message_columns() -> list[Column]:
     """A conversation turn as a raw message; each turn answers the one before it."""
-    number = F.col("conv_id") * 1000 + F.col("turn")
+    number = F.col("conv_id") * TURNS + F.col("turn")
     return [
         number.alias("tweet_id"),
         F.when(F.col("role") == "assistant", demo.BRAND).otherwise(
@@ -79,10 +88,16 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).join(flag, "id").select(
         "id", "customer_text", F.col("lang").alias("intent"), F.col("flag").alias("should_escalate"),
         F.when(F.col("flag"), "toxic").otherwise("clean").alias("escalation_reason"),
-        F.col("source").alias("difficulty_stratum"),
+        F.col("source").alias("difficulty_stratum"), tx.truncate("customer_text").alias("reference_resolution"),
     )
 
 
+def seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The items that need a person, as the curated part of an evaluation set, numbered from 1."""
+    curated = gold(spark, sf).where("should_escalate").withColumnRenamed("id", "doc_id")
+    return limits.number_rows(curated, "doc_id", "id").drop("doc_id")
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.build_corpus(messages(spark, sf), demo.BRAND)
 
@@ -94,7 +109,7 @@ def case_index(spark: SparkSession, sf: str) -> retrieval.CaseIndex:
 
 @lru_cache(maxsize=8)
 def _stored_index(spark: SparkSession, sf: str) -> retrieval.CaseIndex:
-    path = f"{work_dir(spark)}/index-{abs(hash((spark.sparkContext.applicationId, sf)))}"
+    path = f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
     return retrieval.CaseIndex.build(corpus(spark, sf), demo.RETRIEVER, path=path)
 
 
@@ -191,7 +206,7 @@ def dedup_keep_first(spark, sf):
 
 @query
 def capped_pairs(spark, sf):
-    return pairs.capped_pairs(messages(spark, sf), demo.BRAND)
+    return pairs.capped_pairs(messages(spark, sf), demo.BRAND, max_pairs=PAIR_CAP)
 
 
 @query
@@ -214,6 +229,14 @@ def quota_sample(spark, sf):
     return sampled.select("id", "tweet_id", "intent", "customer_text")
 
 
+@query
+def quota_sample_after_seeds(spark, sf):
+    """Quotas that the seeds have used up in part, and ids that go on after theirs."""
+    sampled = sampling.quota_sample(
+        _quota_candidates(spark, sf).withColumnRenamed("id", "tweet_id"), seeds(spark, sf), demo.QUOTAS, "tweet_id")
+    return sampled.select("id", "tweet_id", "intent", "customer_text")
+
+
 @query
 def topup_fill(spark, sf):
     items = gold(spark, sf).select("id", "customer_text", "intent", "should_escalate")
@@ -648,9 +671,13 @@ def _all_predictions(spark, sf):
 
 
 def _metric_table(spark, sf):
-    """Several metrics read the small cube, so it is stored once."""
-    cube = materialize(evaluation.evaluation_cube(_all_predictions(spark, sf)), "cube")
-    return evaluation.metric_table(cube)
+    """Several metrics read the predictions, or the small cube of them, so both are stored once."""
+    predictions = materialize(_all_predictions(spark, sf), "predictions")
+    cube = materialize(evaluation.evaluation_cube(predictions), "cube")
+    items = gold(spark, sf)
+    lexical_rows = [
+        evaluation.lexical_metrics(name, predictions.where(F.col("system") == name), items) for name in SYSTEMS]
+    return reduce(DataFrame.unionByName, [evaluation.metric_table(cube), *lexical_rows])
 
 
 @query
@@ -701,3 +728,71 @@ def evaluation_set(spark, sf):
         corpus(spark, sf), None, demo.EVALUATION_LEXICON, demo.STRATUM_RULES, demo.STRATUM_DEFAULT,
         demo.QUOTAS, 20)
     return built
+
+
+@query
+def evaluation_set_after_seeds(spark, sf):
+    """The same, with seeds first."""
+    return dataprep.build_evaluation_set(
+        corpus(spark, sf), seeds(spark, sf), demo.EVALUATION_LEXICON, demo.STRATUM_RULES, demo.STRATUM_DEFAULT,
+        demo.QUOTAS, 20)
+
+
+# --- files: written by the library's sinks and read back by its readers --------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def messages_through_csv(spark, sf):
+    """The raw dump as CSV, then as Parquet."""
+    path = _folder(spark, "messages")
+    raw = messages(spark, sf).withColumn("response_tweet_id", F.lit(None).cast("string"))
+    writers.write_table(raw.select(*schemas.RAW_MESSAGES.names), path, "csv")
+    return readers.ingest_messages(spark, path, f"{path}-parquet")
+
+
+@query
+def evaluation_items_through_json(spark, sf):
+    """The evaluation set as lines of JSON."""
+    path = _folder(spark, "items")
+    writers.write_table(gold(spark, sf).select(*schemas.EVALUATION_ITEMS.names), path, "json")
+    items = readers.read_evaluation_items(spark, path, "jsonl")
+    return validate_input(items, schemas.EVALUATION_ITEMS.names, "the evaluation set builder")
+
+
+@query
+def calibration_through_json(spark, sf):
+    """Orders as items that two raters scored on three dimensions."""
+    path = _folder(spark, "calibration")
+    a, b = F.substring("o_orderpriority", 1, 1).cast("int"), F.least(
+        F.floor(F.col("o_totalprice") / 100000) + 1, F.lit(5)).cast("int")
+
+    def scores(first, second, third):
+        return F.struct(first.alias("groundedness"), second.alias("actionability"), third.alias("brand_tone"))
+
+    nothing = F.lit("")
+    records = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("int").alias("id"), nothing.alias("customer_text"), nothing.alias("drafted_reply"),
+        scores(a, b, 6 - a).alias("human_scores"), scores(b, b, a).alias("judge_scores"),
+        nothing.alias("human_notes"), nothing.alias("judge_reasoning"))
+    writers.write_table(records, path, "json")
+    return readers.read_calibration(spark, path, multi_line=False)
+
+
+@query
+def predictions_through_csv(spark, sf):
+    """The detailed predictions as CSV."""
+    path = _folder(spark, "predictions")
+    writers.write_table(_predictions(spark, sf).select(*schemas.DETAILED_PREDICTIONS.names), path, "csv")
+    return readers.read_predictions(spark, path, "csv").drop("customer_text")
+
+
+@query
+def metrics_through_json(spark, sf):
+    """The metric table as JSON; the rows without a label."""
+    path = _folder(spark, "metrics")
+    writers.write_summary(_metric_table(spark, sf), path)
+    kept = readers.read_metrics(spark, path, "json").where(F.col("label").isNull())
+    return kept.select("system", "metric_group", "metric", "value")

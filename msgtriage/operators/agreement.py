@@ -59,18 +59,18 @@ def weighted_kappa(counts: DataFrame) -> DataFrame:
 
 
 def rater_pearson(counts: DataFrame) -> DataFrame:
-    """K4: correlation of the two raters, weighted by the counts; null for a constant rater."""
-    n, total = F.col("n"), F.sum("n")
-    means = counts.groupBy("dimension").agg(
-        (F.sum(n * F.col(A)) / total).alias("ma"), (F.sum(n * F.col(B)) / total).alias("mb"),
-        (F.sum(n * F.col(A) * F.col(A)) / total).alias("maa"),
-        (F.sum(n * F.col(B) * F.col(B)) / total).alias("mbb"),
-        (F.sum(n * F.col(A) * F.col(B)) / total).alias("mab"),
-    )
-    spread = (F.col("maa") - F.col("ma") * F.col("ma")) * (F.col("mbb") - F.col("mb") * F.col("mb"))
-    covariance = F.col("mab") - F.col("ma") * F.col("mb")
-    r = F.when(spread > 1e-12, covariance / F.sqrt(spread))
-    return means.select("dimension", r.alias("pearson_r"))
+    """K4: correlation of the two raters, weighted by the counts; null for a constant rater.
+
+    Ratings are whole numbers, so all sums are, and the differences of their products are exact in
+    decimals: a spread is zero for a constant rater only, however rare the other ratings are.
+    """
+    n, a, b = F.col("n"), F.col(A), F.col(B)
+    sums = {"n": n, "a": n * a, "b": n * b, "aa": n * a * a, "bb": n * b * b, "ab": n * a * b}
+    exact = counts.groupBy("dimension").agg(*[F.sum(v).cast("decimal(38,0)").alias(k) for k, v in sums.items()])
+    spread_a, spread_b, common = (
+        F.col("n") * F.col(x + y) - F.col(x) * F.col(y) for x, y in (("a", "a"), ("b", "b"), ("a", "b")))
+    r = common.cast("double") / (F.sqrt(spread_a.cast("double")) * F.sqrt(spread_b.cast("double")))
+    return exact.select("dimension", F.when((spread_a != 0) & (spread_b != 0), r).alias("pearson_r"))
 
 
 def agreement(ratings: DataFrame, dimension: str = "dimension") -> DataFrame:

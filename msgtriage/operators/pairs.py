@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from msgtriage.functions.text import collapse_whitespace
+from msgtriage.functions.text import collapse_whitespace, trim_whitespace
 from msgtriage.operators.limits import first_n
 
 MIN_TEXT = 15          # fixed value: shortest usable text of a pair
-MAX_PAIRS = 15_000     # fixed value: pair cap, applied before de-duplication
 LENGTH_BAND = (20, 260)  # fixed value: texts fit for the evaluation set
 
 
@@ -38,7 +37,11 @@ def length_band(c: str, low: int = LENGTH_BAND[0], high: int = LENGTH_BAND[1]) -
 
 
 def _sides(messages: DataFrame, brand: str, handle: str | None) -> tuple[DataFrame, DataFrame]:
-    """B2: replies by the brand, and inbound messages; each filtered and cleaned before any shuffle."""
+    """B2: replies by the brand, and inbound messages; each filtered and cleaned before any shuffle.
+
+    C2: ids are made unique on both sides. Of messages that repeat an id, the one with the least
+    parent and text stands; the minimum is taken before the shuffle, so a hot id is one row a partition.
+    """
     relevant = messages if handle is None else filter_relevant(messages, brand, handle)
     replies = relevant.where(
         (F.col("author_id") == brand) & ~F.col("inbound")
@@ -51,7 +54,11 @@ def _sides(messages: DataFrame, brand: str, handle: str | None) -> tuple[DataFra
     inquiries = relevant.where(F.col("inbound")).select(
         F.col("tweet_id").alias("inquiry_id"), collapse_whitespace("text").alias("customer_text")
     )
-    return replies.where(min_length(["agent_text"])), inquiries.where(min_length(["customer_text"]))
+    replies = replies.where(min_length(["agent_text"])).groupBy("response_id").agg(
+        F.min(F.struct("inquiry_id", "agent_text")).alias("r")).select("response_id", "r.*")
+    inquiries = inquiries.where(min_length(["customer_text"])).groupBy("inquiry_id").agg(
+        F.min("customer_text").alias("customer_text"))
+    return replies, inquiries
 
 
 PAIR_COLUMNS = ("inquiry_id", "response_id", "customer_text", "agent_text")
@@ -60,8 +67,8 @@ PAIR_COLUMNS = ("inquiry_id", "response_id", "customer_text", "agent_text")
 def reply_pairs(messages: DataFrame, brand: str, handle: str | None = None) -> DataFrame:
     """Each brand reply with the inbound message it answers, both long enough.
 
-    Ids are unique (see ``duplicate_keys``). A message with very many replies
-    makes one side of the sort-merge join skewed; adaptive execution splits it.
+    A message with very many replies makes one side of the sort-merge join
+    skewed; adaptive execution splits it.
     """
     replies, inquiries = _sides(messages, brand, handle)
     return replies.join(inquiries, "inquiry_id").select(*PAIR_COLUMNS)
@@ -84,10 +91,12 @@ def dedup_keep_first(df: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def capped_pairs(
-    messages: DataFrame, brand: str, handle: str | None = None, max_pairs: int = MAX_PAIRS,
+    messages: DataFrame, brand: str, handle: str | None = None, max_pairs: int | None = None,
 ) -> DataFrame:
-    """The first pairs by reply id up to the cap, then D3 (so the result is smaller)."""
-    pairs = first_n(reply_pairs(messages, brand, handle), "response_id", max_pairs)
+    """The first pairs by reply id up to the cap, if one is given, then D3 (so the result is smaller)."""
+    pairs = reply_pairs(messages, brand, handle)
+    if max_pairs is not None:
+        pairs = first_n(pairs, "response_id", max_pairs)
     return dedup_keep_first(pairs, "customer_text", "response_id")
 
 
@@ -111,16 +120,17 @@ def drop_leaked(
     corpus: DataFrame, evaluation: DataFrame, key: str, text: str = "customer_text",
     evaluation_text: str = "customer_text", salts: int = 16,
 ) -> DataFrame:
-    """Corpus rows whose trimmed text is not an evaluation text.
+    """Corpus rows whose text, without whitespace at its ends, is not an evaluation text.
 
+    A null text is empty, so it is one of them only if an evaluation text is empty too.
     Whether to broadcast the evaluation keys is left to the size check of the
     planner. If it shuffles, the corpus is salted by its row ``key``, so a text
     that fills a third of the corpus is spread over ``salts`` tasks; the
     de-duplicated evaluation keys, the small side, are repeated per salt.
     """
     salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    keys = evaluation.select(F.trim(F.col(evaluation_text)).alias("_key")).distinct().select("_key", salt)
-    salted = corpus.withColumn("_key", F.trim(F.col(text))).withColumn(
+    keys = evaluation.select(trim_whitespace(evaluation_text).alias("_key")).distinct().select("_key", salt)
+    salted = corpus.withColumn("_key", trim_whitespace(text)).withColumn(
         "_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
     )
     return salted.join(keys, ["_key", "_salt"], "left_anti").drop("_key", "_salt")
@@ -131,5 +141,5 @@ def find_leaked(
     evaluation_text: str = "customer_text",
 ) -> DataFrame:
     """C3, the other half: the corpus rows that ``drop_leaked`` removes."""
-    keys = evaluation.select(F.trim(F.col(evaluation_text)).alias("_key")).distinct()
-    return corpus.withColumn("_key", F.trim(F.col(text))).join(keys, "_key", "left_semi").drop("_key")
+    keys = evaluation.select(trim_whitespace(evaluation_text).alias("_key")).distinct()
+    return corpus.withColumn("_key", trim_whitespace(text)).join(keys, "_key", "left_semi").drop("_key")

@@ -56,13 +56,15 @@ def topup_fill(
 ) -> DataFrame:
     """Append templated rows until there are ``size``; the template cycles by position.
 
+    The new rows' ids go on after the largest id there is.
+
     Off by default in the dataset builder: filler inflates every metric.
     """
-    have = items.count()
+    have, last = items.agg(F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0))).first()
     missing = max(size - have, 0)
     position = F.col("id") + F.lit(have)
     filler = items.sparkSession.range(missing).select(
-        (position + 1).alias("id"),
+        (F.col("id") + F.lit(last + 1)).alias("id"),
         F.format_string(text_format, F.pmod(position, F.lit(cycle))).alias(text),
         *[F.lit(v).alias(name) for name, v in constants.items()],
     )

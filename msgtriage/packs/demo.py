@@ -74,13 +74,13 @@ ESCALATION_RULES = [
 ESCALATION_DEFAULT = _escalate("routine", "LOW", "ROUTINE", should=False)
 
 TEMPLATES = {
-    "HAZARD": "Your safety comes first. Please send us a DM.",
-    "THREAT": "We take this seriously. A specialist will read your case; please send a DM.",
-    "SENSITIVE": "To protect your account please visit https://example.com/recover now.",
-    "DISPUTE": "We would like to look into this charge with you. Send a DM.",
-    "FRAGMENT": "Could you tell us a little more about it?",
+    "HAZARD": "Please stop using it and write to us in a DM; your safety matters most.",
+    "THREAT": "A colleague will read this today. Send a DM so that we can reach you.",
+    "SENSITIVE": "Accounts are handled at https://example.com/recover and nowhere else.",
+    "DISPUTE": "Let us go through this charge together in a DM.",
+    "FRAGMENT": "A few more words about it would help us.",
 }
-GENERAL_REPLY = "We want to help. Please send us a direct message with the details."
+GENERAL_REPLY = "Write to us directly with the details and we will look into it."
 
 
 def _topic(name, template, *any_of):
@@ -96,7 +96,7 @@ TOPICS = [
     _topic("feedback", "Thank you for telling us.", intent_is("es")),
     _topic("out_of_scope", "We can only help with our own products.", intent_is("out_of_scope")),
 ]
-DEFAULT_REPLY = "We're here to help! Which version do you use?"
+DEFAULT_REPLY = "Which version is this about? That will help us find the cause."
 
 RUBRIC_MARKERS = {
     "handover": ("dm", "safety"),
@@ -139,8 +139,8 @@ PACK = TriagePack(
     simple_keywords=("idiot", "trash", "license"),
     simple_hit_reason="keyword",
     simple_miss_reason="no keyword",
-    simple_fallback_reply="We are here to help. Send us a DM.",
+    simple_fallback_reply="Send us a DM and we will help.",
     trivial_reason="never",
-    trivial_reply="Thank you for telling us! Please DM us your version.",
+    trivial_reply="Noted. Tell us the version in a DM.",
     rubric_markers=RUBRIC_MARKERS,
 )

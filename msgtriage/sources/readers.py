@@ -9,14 +9,19 @@ from msgtriage.operators.limits import first_n
 from msgtriage.sources.contract import open_input
 
 
-def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
+def _csv(spark: SparkSession, path: str, schema, multi_line: bool = True) -> DataFrame:
+    """A file whose texts hold line breaks is one task; without such, ``multi_line=False`` lets Spark split it."""
     reader = spark.read.schema(schema).option("header", True)
-    return reader.option("multiLine", True).option("escape", '"').csv(path)
+    return reader.option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
-def read_raw_messages(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+def read_raw_messages(
+    spark: SparkSession, path: str, max_rows: int | None = None, multi_line: bool = True,
+) -> DataFrame:
     """A1: the raw message dump. ``max_rows`` keeps the lowest message ids.
 
+    A large dump is best read once and kept as Parquet (``ingest_messages``).
+
     The parent id may be written as a whole float (``12.0``), since it can be
     missing; it is read as text and made a LONG, exact for any id.
     """
@@ -25,12 +30,18 @@ def read_raw_messages(spark: SparkSession, path: str, max_rows: int | None = Non
         T.StructField(f.name, T.StringType() if f.name == parent else f.dataType)
         for f in schemas.RAW_MESSAGES
     ])
-    raw = open_input(lambda: _csv(spark, path, as_text), "the download of the raw messages")
+    raw = open_input(lambda: _csv(spark, path, as_text, multi_line), "the download of the raw messages")
     whole = F.regexp_replace(F.col(parent), r"\.0*$", "")
     df = raw.withColumn(parent, whole.try_cast("long"))
     return df if max_rows is None else first_n(df, "tweet_id", max_rows)
 
 
+def ingest_messages(spark: SparkSession, path: str, to: str, multi_line: bool = True) -> DataFrame:
+    """A1 once and for all: the dump as Parquet, which splits whatever its texts hold."""
+    read_raw_messages(spark, path, multi_line=multi_line).write.mode("overwrite").parquet(to)
+    return spark.read.schema(schemas.RAW_MESSAGES).parquet(to)
+
+
 def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A2: the pair corpus without rows that lack a text."""
     def load() -> DataFrame:
@@ -48,11 +59,16 @@ def drop_incomplete_pairs(
 
 
 def read_evaluation_items(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """A3: the labelled evaluation set; JSON may be an array or one object per line."""
+    """A3: the labelled evaluation set; JSON may be an array or one object per line.
+
+    ``fmt="jsonl"`` says that it is one object per line, so that Spark may split the files.
+    """
     def load() -> DataFrame:
         if fmt == "csv":
             return _csv(spark, path, schemas.EVALUATION_ITEMS)
         reader = spark.read.schema(schemas.EVALUATION_ITEMS)
+        if fmt == "jsonl":
+            return reader.json(path)
         if fmt == "json":
             reader = reader.option("multiLine", True)
         return reader.format(fmt).load(path)
@@ -60,10 +76,10 @@ def read_evaluation_items(spark: SparkSession, path: str, fmt: str = "json") ->
     return open_input(load, "the evaluation set builder")
 
 
-def read_calibration(spark: SparkSession, path: str) -> DataFrame:
+def read_calibration(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A4: two raters' scores, as one row per item and dimension."""
     raw = open_input(
-        lambda: spark.read.schema(schemas.CALIBRATION).option("multiLine", True).json(path),
+        lambda: spark.read.schema(schemas.CALIBRATION).option("multiLine", multi_line).json(path),
         "the calibration study",
     )
     return stack_ratings(raw)

@@ -44,6 +44,11 @@ def test_kappa_by_brute_force(spark, pairs):
     assert got is None if expected is None else got == pytest.approx(expected)
 
 
+def test_correlation_of_raters_who_hardly_differ(spark):
+    counts = spark.createDataFrame([("d", 5, 5, 9_999_999), ("d", 4, 4, 1)], "dimension string, rater_a int, rater_b int, n long")
+    assert ag.rater_pearson(counts).first()["pearson_r"] == pytest.approx(1.0)
+
+
 def test_constant_rater_has_no_correlation(spark):
     df = spark.createDataFrame([("d", 3, 1), ("d", 3, 2)], "dimension string, rater_a int, rater_b int")
     assert ag.rater_pearson(ag.rating_counts(df)).first()["pearson_r"] is None

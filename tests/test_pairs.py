@@ -42,6 +42,18 @@ def test_reply_pairs(spark):
     assert (3, 4) in ids(pairs.reply_pairs(raw(spark, ROWS), "brand"))
 
 
+def test_repeated_ids_make_one_pair(spark):
+    rows = [(1, "u", True, f"{LONG} b", None), (1, "u", True, f"{LONG} a", None), (2, "brand", False, REPLY, 1),
+            (2, "brand", False, REPLY, 1), (3, "brand", False, REPLY, 1)]
+    got = sorted(map(tuple, pairs.reply_pairs(raw(spark, rows), "brand").collect()))
+    assert got == [(1, 2, f"{LONG} a", REPLY), (1, 3, f"{LONG} a", REPLY)]
+
+
+def test_no_cap_unless_given(spark):
+    messages = raw(spark, ROWS)
+    assert ids(pairs.capped_pairs(messages, "brand")) == ids(pairs.build_corpus(messages, "brand"))
+
+
 def test_cap_comes_before_dedup(spark):
     capped = pairs.capped_pairs(raw(spark, ROWS), "brand", "@brand", max_pairs=3)
     assert ids(capped) == [(1, 2), (10, 11)]
@@ -80,6 +92,14 @@ def test_leakage_with_every_salt(spark):
     assert pairs.find_leaked(corpus, gold).count() == 301
 
 
+def test_leakage_in_spite_of_any_whitespace(spark):
+    texts = ["my phone is dead\n", "\u00a0my phone is dead", "\tmy phone is dead ", "my phone is dead!", None]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id int, customer_text string")
+    gold = spark.createDataFrame([("my phone is dead",)], "customer_text string")
+    assert sorted(r["id"] for r in pairs.drop_leaked(corpus, gold, "id").collect()) == [3, 4]
+    assert sorted(r["id"] for r in pairs.find_leaked(corpus, gold).collect()) == [0, 1, 2]
+
+
 def test_first_n_is_exact_and_not_sorted_as_a_whole(spark):
     df = spark.range(0, 1000, 1, 8).select((F.lit(999) - F.col("id")).alias("k"), F.lit("x").alias("payload"))
     got = limits.first_n(df, "k", 10)

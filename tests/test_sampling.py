@@ -48,6 +48,13 @@ def test_topup(spark):
     assert sampling.topup_fill(items, 1, "x%d", 4, {"intent": "z"}).count() == 2
 
 
+def test_topup_ids_are_new(spark):
+    items = spark.createDataFrame([(4, "t", "x"), (9, "u", "y")], "id long, customer_text string, intent string")
+    filled = sampling.topup_fill(items, 5, "filler %d", 4, {"intent": "z"}).orderBy("id").collect()
+    assert [r["id"] for r in filled] == [4, 9, 10, 11, 12]
+    assert [r["customer_text"] for r in filled[2:]] == ["filler 2", "filler 3", "filler 0"]
+
+
 def test_breakdown_in_one_pass(spark):
     df = spark.createDataFrame([("a", True), ("a", False), (None, True)], "intent string, should_escalate boolean")
     got = {(r["facet"], r["value"]): r["n"] for r in sampling.breakdown_counts(df, ["intent", "should_escalate"]).collect()}
