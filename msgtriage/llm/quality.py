@@ -10,6 +10,11 @@ k is not set by hand: it is the number of documents whose log weight is at least
 ``MARGIN``, counted over the whole table. Gumbel noise hardly falls below -2.7, so
 documents of about the target's distribution stay and those far from it go.
 
+The target model is the raw one, changed where the good documents show it: a
+bucket's ratio is its count among them over the count that the raw model lets one
+expect there, ``SMOOTHING`` added to both, and all are scaled to a distribution. So
+features that were hardly seen say nothing for or against a document.
+
 Counting is one pass with a table of ``BUCKETS`` numbers per task, which meet in
 sums by bucket. The k-th largest value is found by counting, digit by digit, over
 a sortable form of the perturbed weight; only ``RADIX`` counts reach the driver per
@@ -25,8 +30,6 @@ at the threshold allow it.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,67 +39,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from msgtriage.llm.common import fresh, materialize, text_or_empty, uniform_of
+from msgtriage.llm.runs import hashed_runs, mix, slices
 
 BUCKETS = 1 << 14
 MARGIN = -3.0
-SMOOTHING = 1.0
+SMOOTHING = 20.0
 SEED = 4
 RADIX_BITS = 16
-MEMO_ENTRIES = 200_000
-
-WORDS = re.compile(r"\w+|[^\w\s]+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Features:
-    """Hashed unigrams and bigrams of lower-cased words and runs of punctuation.
+    """Buckets of unigrams and bigrams of words and runs of punctuation.
 
-    White space parts words, so what stands between two spaces is cut once per
-    worker and remembered. All bigrams of a word with itself share a bucket.
+    All bigrams of a word with itself share a bucket.
     """
 
     def __init__(self, buckets: int):
         if buckets < 2 or buckets & (buckets - 1):
             raise ValueError("the number of buckets must be a power of two")
         self.buckets = buckets
-        self.memo: dict[str, bytes] = {}
-
-    def __getstate__(self):
-        return {"buckets": self.buckets, "memo": {}}
-
-    def _codes(self, chunk: str) -> bytes:
-        """Four bytes for each word, the same in every process."""
-        codes = b"".join(zlib.crc32(w.encode()).to_bytes(4, "little") for w in WORDS.findall(chunk))
-        if len(chunk) <= 64:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[chunk] = codes
-        return codes
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of all unigrams and bigrams, and the number of the text of each."""
-        known = self.memo.get
-        parts = [b"".join([known(c) or self._codes(c) for c in t.lower().split()]) for t in texts]
-        one = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
-        owner = np.repeat(np.arange(len(texts)), [len(p) // 4 for p in parts])
+        one, owner = hashed_runs(texts, punctuation=True)
         first, second = one[:-1], one[1:]
-        two = np.where(first == second, np.uint64(1), (first << np.uint64(32)) | second)
+        two = np.where(first == second, np.uint64(1), mix(first + (second << np.uint64(1))))
         inside = owner[:-1] == owner[1:]
-        codes = np.concatenate([one, two[inside] + np.uint64(1 << 33)])
-        codes ^= codes >> np.uint64(31)
-        codes *= _MULTIPLIER
-        buckets = (codes >> np.uint64(40)).astype(np.int64) & (self.buckets - 1)
-        return buckets, np.concatenate([owner, owner[:-1][inside]])
-
-
-def _slices(texts: list, limit: int = 4 << 20) -> Iterator[slice]:
-    """Consecutive texts of about ``limit`` characters together."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= limit or i == len(texts) - 1:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
+        codes = np.concatenate([one, two[inside]])
+        return (codes & np.uint64(self.buckets - 1)).astype(np.int64), np.concatenate([owner, owner[:-1][inside]])
 
 
 def _counts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -107,7 +77,7 @@ def _counts(rows: DataFrame, buckets: int) -> DataFrame:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             texts, good = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            for part in _slices(texts):
+            for part in slices(texts):
                 found, owner = features.of(texts[part])
                 raw += np.bincount(found, minlength=buckets)
                 target += np.bincount(found[good[part][owner]], minlength=buckets)
@@ -136,8 +106,9 @@ class QualityModel:
             raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
         if not target.sum():
             return QualityModel(np.zeros(buckets))
-        chance = [(x + smoothing) / (x.sum() + smoothing * buckets) for x in (target, raw)]
-        return QualityModel(np.log(chance[0] / chance[1]))
+        expected = target.sum() * raw / raw.sum()
+        ratio = (target + smoothing) / (expected + smoothing)
+        return QualityModel(np.log(ratio / (ratio * raw).sum() * raw.sum()))
 
     def column(self, text: Column) -> Column:
         """The log importance weight of a text column."""
@@ -148,7 +119,7 @@ class QualityModel:
             for series in batches:
                 texts = [t or "" for t in series]
                 sums = []
-                for part in _slices(texts):
+                for part in slices(texts):
                     found, owner = features.of(texts[part])
                     sums.append(np.bincount(owner, ratio[found], minlength=part.stop - part.start))
                 yield pd.Series(np.concatenate(sums) if sums else [], dtype=float)
