@@ -14,17 +14,17 @@ k ln k + 2k darts, however long it is. Should a coordinate stay empty, the docum
 throws darts up to twice the rank, until none is. Weights above 1 are cut into
 the regions [0, 1), [1, 2), [2, 4), ...: one stream of darts each.
 
-Elements are runs of five words (lower-cased; all words, if there are fewer) with
+Elements are runs of five words (as in ``runs``; all words, if there are fewer) with
 weight 1 each, or as many as they occur (``weights="count"``).
 
 Bands of ``ROWS`` coordinates make candidates. Documents whose elements are equal
 are one class from the start, told by a digest of all of them; only one document
-of a class goes on. Buckets never form all pairs. In a round, every document of a
+of a class goes on. Buckets never form all pairs. In the first round, every document of a
 bucket is paired with the smallest id there, and the pairs are verified by exact
-similarity on the whole texts; those that fail go on to a round among themselves,
-until none is left. So what a round verifies is linear in the size of a bucket.
-Then, what a star may have missed: a document that failed against the centre of a
-bucket may still be linked to one that did not. By the triangle inequality of the
+similarity on the whole texts; those that fail go on to rounds among themselves,
+against the ``CENTRES`` smallest ids, until none is left. So what a round verifies is
+linear in the size of a bucket. Then, what a star may have missed: a document that
+failed against a centre may still be linked to one that did not. By the triangle inequality of the
 Jaccard distance this needs a distance to the centre of at most twice the
 threshold's, and of the other at least the difference; only such pairs are
 verified, and only where the two are not in one class already. (For counts, the
@@ -42,71 +42,52 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from msgtriage.llm.common import materialize, text_or_empty
+from msgtriage.llm.runs import hashed_runs, mix, slices
 
 SHINGLE = 5
 COORDINATES = 150
 ROWS = 6
 SIMILARITY = 0.8
+#: Smallest ids of a bucket that the rest is compared with in a later round.
+CENTRES = 32
 SEED = 9
-MEMO_ENTRIES = 200_000
-#: Elements and darts that a task holds at once, about.
-SLICE = 1_500_000
+#: Characters of text, and documents, whose elements and darts a task holds at once, about.
+SLICE = 1 << 18
+DOCUMENTS = 200
 
-WORDS = re.compile(r"\w+")
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A hash of 64-bit numbers to 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * _A
-    x = (x ^ (x >> np.uint64(27))) * _B
-    return x ^ (x >> np.uint64(31))
-
-
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-class Shingles:
-    """The elements of a text as 64-bit hashes of runs of words."""
-
-    def __init__(self, words: int = SHINGLE):
-        self.words = words
-        self.memo: dict[str, bytes] = {}
+def shingles(texts: list[str], words: int = SHINGLE) -> list[np.ndarray]:
+    """The elements of each text, in its order with repeats: hashes of runs of words."""
+    codes, owner = hashed_runs(texts, punctuation=False)
+    counts = np.bincount(owner, minlength=len(texts))
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    runs = _chain(codes, words) if len(codes) >= words else codes[:0]
+    return [runs[f:f + n - words + 1] if n >= words else _chain(codes[f:f + n], n) for f, n in zip(first, counts)]
 
-    def __getstate__(self):
-        return {"words": self.words, "memo": {}}
 
-    def _codes(self, chunk: str) -> bytes:
-        codes = b"".join(xxhash.xxh3_64_digest(w.encode()) for w in WORDS.findall(chunk))
-        if len(chunk) <= 64:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[chunk] = codes
+def _chain(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` consecutive codes; none of no codes."""
+    if not width:
         return codes
-
-    def of(self, text: str) -> np.ndarray:
-        """In order of the text, repeats included."""
-        known = self.memo.get
-        codes = np.frombuffer(b"".join([known(c) or self._codes(c) for c in text.lower().split()]), "<u8")
-        if not len(codes):
-            return codes
-        width = min(self.words, len(codes))
-        count = len(codes) - width + 1
-        out = np.zeros(count, np.uint64)
-        for i in range(width):
-            out = mix(out * _C + codes[i:i + count])
-        return out
+    count = len(codes) - width + 1
+    out = np.zeros(count, np.uint64)
+    for i in range(width):
+        out = mix(out * _C + codes[i:i + count])
+    return out
 
 
 def weighted(elements: np.ndarray, weights: str) -> tuple[np.ndarray, np.ndarray]:
@@ -187,26 +168,21 @@ def sketch(docs: DataFrame, id_column: str, text_column: str, *, weights: str =
     """id, digest of all elements, band hashes (none for a text without elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            start = size = 0
-            held = []
-            for i, text in enumerate(texts):
-                held.append(weighted(shingles.of(text.as_py()), weights))
-                size += len(held[-1][0]) + 8 * coordinates
-                if size >= SLICE or i == len(texts) - 1:
-                    digests = [hashlib.blake2b(e.tobytes() + (w.tobytes() if weights != "set" else b""),
-                                               digest_size=16).digest() for e, w in held]
-                    some = [j for j, (e, _) in enumerate(held) if len(e)]
-                    found: list = [[] for _ in held]
-                    if some:
-                        for j, row in zip(some, bands(signatures([held[j] for j in some], coordinates), rows)):
-                            found[j] = row.view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids[start:i + 1], pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                        names=["id", "digest", "bands"])
-                    held, start, size = [], i + 1, 0
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for part in slices(texts, SLICE):
+                held = [weighted(e, weights) for e in shingles(texts[part], words)]
+                digests = [hashlib.blake2b(e.tobytes() + (w.tobytes() if weights != "set" else b""),
+                                           digest_size=16).digest() for e, w in held]
+                found: list = [[] for _ in held]
+                some = [j for j, (e, _) in enumerate(held) if len(e)]
+                for at in range(0, len(some), DOCUMENTS):
+                    group = some[at:at + DOCUMENTS]
+                    for j, row in zip(group, bands(signatures([held[j] for j in group], coordinates), rows)):
+                        found[j] = row.view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[part], pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                    names=["id", "digest", "bands"])
 
     return docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")).mapInArrow(
         run, "id long, digest binary, bands array<long>")
@@ -216,9 +192,9 @@ def element_column(weights: str, words: int):
     """A column function: text to its sorted elements and their weights (weight null: all are 1)."""
     @F.pandas_udf("elements array<long>, weights array<double>")
     def elements(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(words)
-        for texts in batches:
-            found = [weighted(shingles.of(t or ""), weights) for t in texts]
+        for column in batches:
+            texts = [t or "" for t in column]
+            found = [weighted(e, weights) for part in slices(texts, SLICE) for e in shingles(texts[part], words)]
             yield pd.DataFrame({
                 "elements": [e.view(np.int64) for e, _ in found],
                 "weights": [None if weights == "set" else w for _, w in found],
@@ -270,6 +246,18 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return roots
 
 
+def _stars(members: DataFrame, centres: int) -> DataFrame:
+    """bucket, a, b, last: every member b with each smaller one of the bucket's ``centres`` smallest ids, a.
+
+    ``last`` is the largest of these. Their ranking drops all others in each task before the shuffle.
+    """
+    by_id = Window.partitionBy("bucket").orderBy("id")
+    few = members.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= centres).select(
+        "bucket", F.col("id").alias("a"))
+    few = few.withColumn("last", F.max("a").over(Window.partitionBy("bucket")))
+    return members.select("bucket", F.col("id").alias("b")).join(few, "bucket").where("b > a")
+
+
 def near_classes(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, similarity: float = SIMILARITY,
     weights: str = "set", words: int = SHINGLE, coordinates: int = COORDINATES, rows: int = ROWS,
@@ -298,18 +286,18 @@ def near_classes(
         joined = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
         return materialize(joined.select("a", "b", exact("ea", "wa", "eb", "wb").alias("s")), "verified")
 
-    # Stars: everyone in a bucket against its smallest id, those that fail once more among themselves.
-    stars, left = [], members
+    # Stars: everyone in a bucket against its smallest id, which settles groups of near copies; then
+    # those that fail among themselves, against the smallest few, which settles buckets of unlike texts.
+    stars, left, centres = [], members, 1
     while True:
-        centres = left.groupBy("bucket").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        paired = materialize(left.join(centres, "bucket").where("id != a").select("bucket", "a", F.col("id").alias("b")),
-                             "star")
+        paired = materialize(_stars(left, centres), "star")
         if not paired.limit(1).count():
             break
-        judged = paired.join(verified(paired), ["a", "b"])
-        star = materialize(judged.select("bucket", "a", "b", "s"), "judged")
-        stars.append(star)
-        left = star.where(F.col("s") < similarity).select("bucket", F.col("b").alias("id"))
+        star = materialize(paired.join(verified(paired), ["a", "b"]), "judged")
+        stars.append(star.select("bucket", "a", "b", "s"))
+        left = star.where(F.col("b") > F.col("last")).groupBy("bucket", F.col("b").alias("id")).agg(
+            F.max("s").alias("s")).where(F.col("s") < similarity).select("bucket", "id")
+        centres = CENTRES
     if not stars:
         return _with_classes(sketched, first, None)
     arms = stars[0]
