@@ -20,7 +20,8 @@ from msgtriage.session import local_session  # noqa: E402
 HEADLINE = (
     "reply_pairs", "capped_pairs", "leakage_anti_join", "weak_labels", "weak_training_set", "quota_sample",
     "normalize_text", "escalation_decision", "draft_reply", "tfidf_vocab", "tfidf_weights", "topk_retrieval",
-    "simple_triage", "production_triage", "bleu4", "rouge_l", "pair_cosine", "per_class_prf",
+    "simple_triage", "production_triage", "predict_intent", "simple_triage_fitted", "production_triage_fitted",
+    "bleu4", "rouge_l", "pair_cosine", "per_class_prf",
     "system_comparison", "breakdown_counts", "weighted_kappa", "agreement_macro",
 )
 
@@ -54,6 +55,7 @@ def main() -> None:
         "sf": sf_dir.rsplit("sf", 1)[-1],
         "index_build_sec": index_seconds,
         "triage_messages_per_sec": round(documents / times["production_triage"], 1),
+        "fitted_triage_ms_per_message": round(1000 * times["production_triage_fitted"] / documents, 3),
     }))
     spark.stop()
 

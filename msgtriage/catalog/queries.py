@@ -447,22 +447,16 @@ def majority_class(spark, sf):
 
 
 @lru_cache(maxsize=8)
-def _intent_model(spark, sf):
+def _intent_model(spark, sf, settings=classify.PRODUCTION):
     train = labeling.training_set(
         gold(spark, sf), pairs.drop_leaked(texts(spark, sf), gold(spark, sf), "id"), demo.LEXICON)
-    return classify.IntentModel.fit(train, classify.PRODUCTION)
+    return classify.IntentModel.fit(train, settings)
 
 
 @query
 def train_intent_model(spark, sf):
     """The fitted coefficients; classes x vocabulary rows."""
-    model = _intent_model(spark, sf)
-    matrix = model.regression.coefficientMatrix.toArray()
-    rows = [
-        (label, term, float(matrix[i][j]))
-        for i, label in enumerate(model.labels) for j, term in enumerate(model.tfidf.terms)
-    ]
-    return spark.createDataFrame(rows, "intent string, term string, coefficient double")
+    return _intent_model(spark, sf).coefficients(spark)
 
 
 @query
@@ -503,6 +497,21 @@ def trivial_triage(spark, sf):
     return triage.trivial_triage(texts(spark, sf), demo.PACK).select(*ANSWER)
 
 
+@query
+def simple_triage_fitted(spark, sf):
+    """The simple plan with its own classifier, fitted on the training set."""
+    model = _intent_model(spark, sf, classify.SIMPLE)
+    done = triage.simple_triage(texts(spark, sf), model, case_index(spark, sf), demo.PACK)
+    return done.select("id", "intent", F.round("confidence", 4).alias("confidence"), "should_escalate", "drafted_reply")
+
+
+@query
+def production_triage_fitted(spark, sf):
+    """The production plan with its own classifier, fitted on the training set."""
+    done = triage.production_triage(texts(spark, sf), _intent_model(spark, sf), case_index(spark, sf), demo.PACK)
+    return done.select("id", "intent", F.round("confidence", 4).alias("confidence"), "trigger_rule", "drafted_reply")
+
+
 @query
 def simple_triage(spark, sf):
     triaged = triage.simple_triage(texts(spark, sf), demo.WEIGHTS, case_index(spark, sf), demo.PACK)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from math import ceil
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from msgtriage.functions.text import contains_any, explode_structs, let, normalize_text, sql_string, tokenize
 from msgtriage.operators.labeling import heuristic_intent
 from msgtriage.operators.tfidf import PRODUCTION_CLASSIFIER, SIMPLE_CLASSIFIER, TfidfConfig, TfidfModel
-from msgtriage.session import materialize
+from msgtriage.session import materialize, work_dir
 
 MAX_CLASSES = 1_000
 ROWS_PER_PART = 20_000
@@ -122,6 +123,22 @@ class IntentModel:
         )
         return scored.withColumn("_best", best).select(*df.columns, "_best.*")
 
+    def coefficients(self, spark: SparkSession) -> DataFrame:
+        """``(intent, term, coefficient)``, read from the stored model; nothing passes the driver but labels."""
+        path = f"{work_dir(spark)}/regression-{uuid.uuid4().hex}"
+        self.regression.save(path)
+        matrix = spark.read.parquet(f"{path}/data").select(F.unwrap_udt("coefficientMatrix").alias("m"))
+        cells = matrix.select("m.numRows", "m.numCols", "m.isTransposed", F.posexplode("m.values").alias("at", "coefficient"))
+        row = F.when(F.col("isTransposed"), F.floor(F.col("at") / F.col("numCols"))).otherwise(
+            F.col("at") % F.col("numRows"))
+        column = F.when(F.col("isTransposed"), F.col("at") % F.col("numCols")).otherwise(
+            F.floor(F.col("at") / F.col("numRows")))
+        names = F.array(*map(F.lit, self.labels))
+        placed = cells.select(
+            F.element_at(names, (row + 1).cast("int")).alias("intent"), column.cast("int").alias("term_id"), "coefficient")
+        terms = self.tfidf.table(spark).select("term_id", "term")
+        return placed.join(terms, "term_id").select("intent", "term", "coefficient")
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.tfidf.save(spark, f"{path}/tfidf")
         self.regression.write().overwrite().save(f"{path}/regression")

@@ -120,3 +120,11 @@ def test_training_cap_counts_seeds(spark):
     built = labeling.training_set(seeds, corpus, support.LEXICON, cap=6)
     assert sorted((r["priority"], r["id"]) for r in built.collect()) == [(0, 1), (0, 2), (1, 10), (1, 11), (1, 12), (1, 13)]
     assert labeling.training_set(seeds, corpus, support.LEXICON, cap=2).count() == 2
+
+
+def test_coefficients_are_those_of_the_model(spark, train):
+    model = IntentModel.fit(train, IntentSettings(TfidfConfig(1, 2, 50), 1.0, 100))
+    matrix = model.regression.coefficientMatrix.toArray()
+    want = {(label, term): matrix[i][j] for i, label in enumerate(model.labels) for j, term in enumerate(model.tfidf.terms)}
+    got = {(r["intent"], r["term"]): r["coefficient"] for r in model.coefficients(spark).collect()}
+    assert got == pytest.approx(want)

@@ -30,9 +30,22 @@ def test_trained_classifier(spark):
     assert entry.queries()["train_intent_model"](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["simple_triage_fitted", "production_triage_fitted"])
+def test_triage_with_a_fitted_model(spark, name):
+    """One answer a document, and the plain label of the fitted model wherever no rule overrides it."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["id"]: r for r in entry.queries()[name](spark, SF).collect()}
+    assert set(rows) == {r["doc_id"] for r in documents.collect()}
+    langs = {r["doc_id"]: r["lang"] for r in documents.collect()}
+    told = [i for i, r in rows.items() if r["intent"] in set(langs.values())]
+    assert len(told) > len(rows) / 2
+    assert sum(rows[i]["intent"] == langs[i] for i in told) > 0.8 * len(told)
+
+
 def test_every_query_has_sql_or_a_test_of_its_own():
     own = {name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)}  # those have tests of their own
-    assert own - set(ORACLES) == {"train_intent_model", "predict_intent"}
+    assert own - set(ORACLES) == {
+        "train_intent_model", "predict_intent", "simple_triage_fitted", "production_triage_fitted"}
 
 
 def test_entry(spark):
