@@ -1,8 +1,8 @@
 """Quality by importance resampling over hashed n-grams.
 
 Two bag models share one table of hashed word unigrams and bigrams: the target
-model is counted over the labelled good documents, the raw model over all
-documents. The importance weight of a document is the product of the ratios of
+model is counted over labelled good documents (a bounded sample of the labelled
+rows, ``GOOD_DOCS``), the raw model over all documents. The importance weight of a document is the product of the ratios of
 its features. Adding independent Gumbel noise to the logarithms and taking the k
 largest draws k documents without replacement, in proportion to their weights.
 
@@ -46,6 +46,8 @@ MARGIN = -3.0
 SMOOTHING = 20.0
 SEED = 4
 RADIX_BITS = 16
+#: Good documents that the target model is counted over, about; bounds what is broadcast.
+GOOD_DOCS = 20_000
 
 
 class Features:
@@ -96,11 +98,18 @@ class QualityModel:
     @staticmethod
     def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
             buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> QualityModel:
-        """Count both models over all of ``docs``; ``labels`` has doc_id and quality (1 is good)."""
-        good = labels.groupBy(F.col("doc_id").alias("label_id")).agg((F.max("quality") == 1).alias("good"))
+        """Count the raw model over all of ``docs``, the target over those that ``labels`` calls good.
+
+        ``labels`` has doc_id and quality (1 is good). Of the good ids about ``GOOD_DOCS`` are used, chosen
+        by their hashes, so they can be sent to where the texts are, and no text moves.
+        """
+        good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(
+            F.max("quality").alias("quality")).where("quality = 1").select("label_id")
+        share = GOOD_DOCS / max(1, good.count())
+        chosen = F.broadcast(good.where(uniform_of(F.col("label_id").cast("string"), seed=SEED + 1) < share))
         narrow = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
-        rows = narrow.join(good.where("good").hint("shuffle_hash"), F.col("id") == F.col("label_id"), "left").select(
-            "text", F.col("good").isNotNull().alias("good"))
+        rows = narrow.join(chosen, F.col("id") == F.col("label_id"), "left").select(
+            "text", F.col("label_id").isNotNull().alias("good"))
         raw, target = np.zeros(buckets), np.zeros(buckets)
         for row in _counts(rows, buckets).collect():
             raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
@@ -153,15 +162,18 @@ def resample(
     docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text", *,
     k: int | None = None, margin: float = MARGIN, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with log_weight, perturbed and kept (names lengthened if taken).
+    """``docs`` with log_weight, perturbed and kept (names lengthened if taken)."""
+    weight = fresh(docs, "log_weight")
+    return draw(docs.withColumn(weight, model.column(F.col(text_column))), id_column, weight, k=k, margin=margin, seed=seed)
 
-    ``k`` documents are kept: as given, or as many as reach ``margin``.
-    """
-    weight, perturbed, kept, place = (fresh(docs, n) for n in ("log_weight", "perturbed", "kept", "place"))
+
+def draw(rows: DataFrame, id_column: str, weight: str, *, k: int | None = None, margin: float = MARGIN,
+         seed: int = SEED) -> DataFrame:
+    """``rows`` with perturbed and kept: ``k`` are kept, as given, or as many as have a weight of ``margin`` or more."""
+    perturbed, kept, place = (fresh(rows, n) for n in ("perturbed", "kept", "place"))
     noise = -F.log(-F.log(uniform_of(F.col(id_column).cast("string"), seed=seed)))
     scored = materialize(
-        docs.withColumn(weight, model.column(F.col(text_column)))
-        .withColumn(perturbed, F.col(weight) + noise).withColumn(place, _sortable(F.col(perturbed))), "scored")
+        rows.withColumn(perturbed, F.col(weight) + noise).withColumn(place, _sortable(F.col(perturbed))), "scored")
     places = scored.select(F.col(place).alias("place"), F.col(id_column).alias("id"))
     total, near = scored.agg(F.count(F.lit(1)), F.count(F.when(F.col(weight) >= margin, 1))).first()
     k = near if k is None else min(k, total)
@@ -178,10 +190,12 @@ def resample(
 
 
 def _nth_id(tied: DataFrame, wanted: int):
-    """A condition on the id that holds for the ``wanted`` smallest of the tied (all rows of the last id)."""
+    """A condition on the id that holds for the ``wanted`` smallest of the tied (all rows of the last id; no null)."""
     if tied.count() == wanted:
         return lambda column: F.lit(True)
     low, high = tied.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return lambda column: F.lit(False)
     while low < high:
         middle = (low + high) // 2
         if tied.where(F.col("id") <= middle).count() >= wanted:

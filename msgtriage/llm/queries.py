@@ -51,7 +51,8 @@ def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = quality.QualityModel.fit(docs, table(spark, sf, "labels"))
-    return quality.resample(docs.select("doc_id", "text"), model).drop("text")
+    weighted = docs.select("doc_id", model.column(F.col("text")).alias("log_weight"))
+    return quality.draw(weighted, "doc_id", "log_weight")
 
 
 def op5_collision_search(spark: SparkSession, sf: str) -> DataFrame:
