@@ -19,17 +19,20 @@ weight 1 each, or as many as they occur (``weights="count"``).
 
 Bands of ``ROWS`` coordinates make candidates. Documents whose elements are equal
 are one class from the start, told by a digest of all of them; only one document
-of a class goes on. Buckets never form all pairs. In the first round, every document of a
-bucket is paired with the smallest id there, and the pairs are verified by exact
-similarity on the whole texts; those that fail go on to rounds among themselves,
-against the ``CENTRES`` smallest ids, until none is left. So what a round verifies is
-linear in the size of a bucket. Then, what a star may have missed: a document that
-failed against a centre may still be linked to one that did not. By the triangle inequality of the
-Jaccard distance this needs a distance to the centre of at most twice the
-threshold's, and of the other at least the difference; only such pairs are
-verified, and only where the two are not in one class already. (For counts, the
-weighted distance is a metric as well.) Classes are the connected components of
-all verified links, by repeated minima over the links, in tables.
+of a class goes on. Buckets never form all pairs. In the first round, every
+document of a bucket is paired with the smallest id there, and the pairs are
+verified by exact similarity on the whole texts; those that fail go on to rounds
+among themselves, against the ``CENTRES`` smallest ids, then ``GROWTH`` times as many,
+until none is left. So what a round verifies is linear in the size of a bucket,
+and few rounds are needed. Pairs that one bit of many coordinates tells to be far
+apart are not verified. Then, what a star may have missed: a document that
+failed against a centre may still be linked to one that did not. By the triangle
+inequality of the Jaccard distance this needs a distance to the centre of at most
+twice the threshold's, and of the other at least the difference. Only such pairs
+are verified, only where the two are not in one class already, and a few at a
+time: a document that is near to many members of a class meets one of them soon.
+(For counts, the weighted distance is a metric as well.) Classes are the connected
+components of all verified links, by repeated minima over the links, in tables.
 
 A copy's class id is the smallest id in its component. A null text is an empty
 text; texts without a word have no elements and are equal to one another. Rows
@@ -56,8 +59,11 @@ SHINGLE = 5
 COORDINATES = 150
 ROWS = 6
 SIMILARITY = 0.8
-#: Smallest ids of a bucket that the rest is compared with in a later round.
-CENTRES = 32
+#: Smallest ids of a bucket that the rest is compared with in the second round, and members of a class with
+#: which one that failed is compared first; ``GROWTH`` times as many in each further round.
+CENTRES = TRIES = GROWTH = 16
+#: Coordinates of which a bit screens pairs before they are verified.
+BITS = 128
 SEED = 9
 #: Characters of text, and documents, whose elements and darts a task holds at once, about.
 SLICE = 1 << 18
@@ -163,9 +169,27 @@ def bands(sketches: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def bits(sketches: np.ndarray) -> np.ndarray:
+    """[document, 2]: the last bit of each of the first ``BITS`` coordinates."""
+    out = np.zeros((len(sketches), 2), np.uint64)
+    for i in range(min(BITS, sketches.shape[1])):
+        out[:, i // 64] |= (sketches[:, i] & np.uint64(1)) << np.uint64(i % 64)
+    return out.view(np.int64)
+
+
+def _alike(similarity: float, coordinates: int, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Whether two documents may be similar, by the bits in which they differ.
+
+    At the threshold a bit differs with probability (1 - similarity) / 2; four standard deviations more are let pass.
+    """
+    n, p = min(BITS, coordinates), (1 - similarity) / 2
+    most = math.floor(n * p + 4 * math.sqrt(n * p * (1 - p)))
+    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1])) <= most
+
+
 def sketch(docs: DataFrame, id_column: str, text_column: str, *, weights: str = "set", words: int = SHINGLE,
            coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
-    """id, digest of all elements, band hashes (none for a text without elements)."""
+    """id, digest of all elements, band hashes (none for a text without elements), two longs of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,17 +199,20 @@ def sketch(docs: DataFrame, id_column: str, text_column: str, *, weights: str =
                 digests = [hashlib.blake2b(e.tobytes() + (w.tobytes() if weights != "set" else b""),
                                            digest_size=16).digest() for e, w in held]
                 found: list = [[] for _ in held]
+                flags = np.zeros((len(held), 2), np.int64)
                 some = [j for j, (e, _) in enumerate(held) if len(e)]
                 for at in range(0, len(some), DOCUMENTS):
                     group = some[at:at + DOCUMENTS]
-                    for j, row in zip(group, bands(signatures([held[j] for j in group], coordinates), rows)):
+                    sketches = signatures([held[j] for j in group], coordinates)
+                    flags[group] = bits(sketches)
+                    for j, row in zip(group, bands(sketches, rows)):
                         found[j] = row.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[part], pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                    names=["id", "digest", "bands"])
+                    [ids[part], pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64())),
+                     pa.array(flags[:, 0]), pa.array(flags[:, 1])], names=["id", "digest", "bands", "u", "v"])
 
     return docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")).mapInArrow(
-        run, "id long, digest binary, bands array<long>")
+        run, "id long, digest binary, bands array<long>, u long, v long")
 
 
 def element_column(weights: str, words: int):
@@ -228,34 +255,36 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, root: the smallest id of each connected component. ``links`` has a and b, ``nodes`` id.
 
     Every round gives a node the smallest root among its own and its neighbours', then the root of its
-    root; components of stars and short chains are done in a few rounds. Sums by node are made in each
-    task before the shuffle.
+    root; components of stars and short chains are done in a few rounds. Minima by node are taken in
+    each task before the shuffle.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    roots = materialize(nodes.select("id", F.col("id").alias("root")), "roots")
+    roots = nodes.select("id", F.col("id").alias("root"))
     while True:
-        offered = both.join(roots.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(
-            F.min("root").alias("offer"))
-        lower = roots.join(offered, "id", "left").select("id", F.least("root", F.coalesce("offer", "root")).alias("root"))
+        told = both.join(roots.withColumnRenamed("id", "b"), "b").select(
+            F.col("a").alias("id"), "root", F.lit(None).cast("long").alias("old"))
+        lower = told.union(roots.select("id", "root", F.col("root").alias("old"))).groupBy("id").agg(
+            F.min("root").alias("root"), F.min("old").alias("old"))
         lower = materialize(lower, "roots-lower")
-        jumped = lower.join(lower.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left")
-        new = materialize(jumped.select("id", F.coalesce("next", "root").alias("root")), "roots")
-        changed = new.join(roots.select("id", F.col("root").alias("old")), "id").where("root != old").limit(1).count()
-        roots = new
-        if not changed:
-            return roots
+        if not lower.where("root != old").limit(1).count():
+            return lower.select("id", "root")
+        jumped = lower.join(lower.select(F.col("id").alias("root"), F.col("root").alias("next")), "root")
+        roots = materialize(jumped.select("id", F.col("next").alias("root")), "roots")
 
 
-def _stars(members: DataFrame, centres: int) -> DataFrame:
-    """bucket, a, b, last: every member b with each smaller one of the bucket's ``centres`` smallest ids, a.
+def _stars(members: DataFrame, centres: int, alike) -> DataFrame:
+    """bucket, a, b, u, v, last: every member b with the smaller ones of the bucket's ``centres`` smallest ids, a.
 
-    ``last`` is the largest of these. Their ranking drops all others in each task before the shuffle.
+    The first centre meets all, the others those that are alike by the bits. ``last`` is the largest
+    centre. Ranking the centres drops all others in each task before the shuffle.
     """
     by_id = Window.partitionBy("bucket").orderBy("id")
     few = members.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= centres).select(
-        "bucket", F.col("id").alias("a"))
+        "bucket", F.col("id").alias("a"), F.col("u").alias("au"), F.col("v").alias("av"), "rank")
     few = few.withColumn("last", F.max("a").over(Window.partitionBy("bucket")))
-    return members.select("bucket", F.col("id").alias("b")).join(few, "bucket").where("b > a")
+    met = (F.col("rank") == 1) | alike((F.col("au"), F.col("av")), (F.col("u"), F.col("v")))
+    return members.withColumnRenamed("id", "b").join(few, "bucket").where((F.col("b") > F.col("a")) & met).select(
+        "bucket", "a", "b", "u", "v", "last")
 
 
 def near_classes(
@@ -268,10 +297,16 @@ def near_classes(
     sketched = materialize(sketch(docs, id_column, text_column, weights=weights, words=words,
                                   coordinates=coordinates, rows=rows), "sketch")
     first = materialize(sketched.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "distinct")
-    entries = first.where(F.col("rep").isNotNull()).select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+        F.min("id").alias("rep"), F.min_by(F.struct("bands", "u", "v"), "id").alias("s")), "distinct")
+    known = first.where(F.col("rep").isNotNull())
+    entries = known.select(F.col("rep").alias("id"), F.explode("s.bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(entries.join(shared, "bucket"), "members")
+    flags = known.select(F.col("rep").alias("id"), "s.u", "s.v")
+    members = materialize(entries.join(shared, "bucket").join(flags, "id"), "members")
+
+    def alike(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+        return _alike(similarity, coordinates, a, b)
+
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     held = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
@@ -290,35 +325,50 @@ def near_classes(
     # those that fail among themselves, against the smallest few, which settles buckets of unlike texts.
     stars, left, centres = [], members, 1
     while True:
-        paired = materialize(_stars(left, centres), "star")
+        paired = materialize(_stars(left, centres, alike), "star")
         if not paired.limit(1).count():
             break
         star = materialize(paired.join(verified(paired), ["a", "b"]), "judged")
-        stars.append(star.select("bucket", "a", "b", "s"))
-        left = star.where(F.col("b") > F.col("last")).groupBy("bucket", F.col("b").alias("id")).agg(
-            F.max("s").alias("s")).where(F.col("s") < similarity).select("bucket", "id")
-        centres = CENTRES
+        stars.append(star.drop("last"))
+        left = star.where(F.col("b") > F.col("last")).groupBy("bucket", F.col("b").alias("id"), "u", "v").agg(
+            F.max("s").alias("s")).where(F.col("s") < similarity).drop("s")
+        centres = CENTRES if centres == 1 else GROWTH * centres
     if not stars:
         return _with_classes(sketched, first, None)
     arms = stars[0]
     for more in stars[1:]:
-        arms = arms.union(more)
+        arms = arms.unionByName(more)
     links = arms.where(F.col("s") >= similarity).select("a", "b").distinct()
-    roots = components(links, wanted)
-    # What a star may have missed: b failed against the centre a, c did not, and b and c may be near.
+    roots = materialize(components(links, wanted), "classes")
+    # What a star may have missed: x failed against the centre a, y did not, and x and y may be near. All
+    # that did not fail are in the class of the centre, so x is settled once it is linked to one of them.
     slack = 1 - similarity
-    failed = arms.where((F.col("s") < similarity) & (F.col("s") >= 1 - 2 * slack)).select(
-        "bucket", "a", F.col("b").alias("x"), (1 - F.col("s")).alias("dx"))
-    held_on = arms.where(F.col("s") >= similarity).select("bucket", "a", F.col("b").alias("y"), (1 - F.col("s")).alias("dy"))
-    root_x = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
-    root_y = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    fringe = failed.join(root_x, "x").join(held_on.join(root_y, "y"), ["bucket", "a"]).where(
-        (F.col("rx") != F.col("ry")) & (F.col("dy") >= F.col("dx") - slack - 1e-9))
-    missed = materialize(fringe.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "fringe")
-    if missed.limit(1).count():
-        more = verified(missed).where(F.col("s") >= similarity).select("a", "b")
-        if more.limit(1).count():
-            roots = components(links.union(more), wanted)
+    of_x, of_a = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("x", "a"))
+    waiting = materialize(arms.where((F.col("s") < similarity) & (F.col("s") >= 1 - 2 * slack)).select(
+        "bucket", "a", F.col("b").alias("x"), F.col("u").alias("xu"), F.col("v").alias("xv"), (1 - F.col("s")).alias("dx"),
+    ).join(of_x, "x").join(of_a, "a").where("root_x != root_a").drop("root_x"), "waiting")
+    held_on = arms.where(F.col("s") >= similarity).groupBy("bucket", F.col("b").alias("y"), "u", "v").agg(
+        F.min(F.struct("a", (1 - F.col("s")).alias("dy"))).alias("c")).select("bucket", "c.*", "y", "u", "v")
+    in_order = Window.partitionBy("bucket", "a").orderBy(F.xxhash64("y"), "y")
+    others = materialize(held_on.join(waiting.select("bucket", "a").distinct(), ["bucket", "a"], "left_semi").withColumn(
+        "rank", F.row_number().over(in_order)), "others")
+    most = others.agg(F.max("rank")).first()[0] or 0
+    done, tries, found = 0, TRIES, []
+    while done < most:
+        some = others.where((F.col("rank") > done) & (F.col("rank") <= done + tries))
+        near = (F.col("dy") >= F.col("dx") - slack - 1e-9) & alike(
+            (F.col("xu"), F.col("xv")), (F.col("u"), F.col("v")))
+        pairs = materialize(waiting.join(some, ["bucket", "a"]).where(near).select(
+            "x", "root_a", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "fringe")
+        linked = materialize(pairs.join(verified(pairs).where(F.col("s") >= similarity), ["a", "b"]), "linked")
+        found.append(linked.select("a", "b"))
+        waiting = materialize(
+            waiting.join(linked.select("x", "root_a").distinct(), ["x", "root_a"], "left_anti"), "waiting")
+        done, tries = done + tries, GROWTH * tries
+    for more in found:
+        links = links.union(more)
+    if found:
+        roots = components(links, wanted)
     return _with_classes(sketched, first, roots)
 
 
