@@ -19,7 +19,9 @@ shared folder, with their ids.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,15 +30,19 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from msgtriage.llm.byte_bpe import byte_characters
 from msgtriage.llm.common import materialize, text_or_empty
+from msgtriage.llm.runs import slices
 
 CAPACITY = 4096
 OPEN_WINDOWS = 32
 FAN_IN = 256
 END_ID = 2
 WIDTH = 4
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 900_000
 MEMO_LENGTH = 64
+#: Characters of text that are encoded together, about.
+SLICE = 1 << 21
 
 #: A round's sequences are numbered from ``number << SEQUENCE_BITS`` of their task.
 SEQUENCE_BITS = 32
@@ -49,73 +55,106 @@ PIECE_NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id",
 class Tokens:
     """Ids of whole texts by a tokenizer file that drops white space.
 
-    White space separates words in such a file, whatever stands beside it, so a
-    text is split there and each chunk is encoded once per worker and kept in a
-    memo of bounded size. What is white space is told by the expression below,
-    as in the file; chunks with no more than common Latin letters are cut further,
-    into the words of the file's pattern, which repeat more often.
+    White space separates words in such a file, whatever stands beside it, so texts
+    are split there and each chunk is encoded once. What is white space is told by
+    the expression below, as in the file. Chunks of texts in common Latin letters are
+    lower-cased and cut further, into the words of the file's pattern, which repeat
+    more often and go to the merges one by one; where full stops and commas stand
+    alone, they are parted from the words beforehand. A worker process remembers
+    chunks and words in a memo of bounded size.
     """
 
     #: White space, and the word pattern of the tokenizer file.
     SPACE = r"\s+"
     WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    #: Letters below this are unchanged by composition, and lower-case one by one.
-    PLAIN_BELOW = "İ"
-    #: What the str method splits at though it is no white space there.
-    SEPARATORS = regex.compile("[\x1c-\x1f]")
+    #: What the str methods treat in another way: separators that are no white space there, and letters from
+    #: U+0130 on, which composition may change or which do not lower-case one by one.
+    ODD_ASCII = re.compile("[\x1c-\x1f]")
+    ODD = re.compile("[\x1c-\x1f\u0130-\U0010ffff]")
+    #: Where it isn't so that all characters are letters, white space, or single full stops and commas.
+    TANGLED = re.compile("[^a-zà-öø-įªµº\\s.,]|[.,]{2}")
 
     def __init__(self, definition: str):
         self.definition = definition
-        self._ready = False
 
-    def __getstate__(self):
-        return {"definition": self.definition, "_ready": False}
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return _encoder(self.definition).encode_all(texts)
+
+
+class _Encoder:
+    """A tokenizer and what it is known to give."""
 
-    def _prepare(self) -> None:
-        if self._ready:
-            return
+    def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(self.definition)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.space = regex.compile(self.SPACE)
-        self.word = regex.compile(self.WORD).findall
+        self.merges = self.tokenizer.model.tokenize
+        self.shown = dict(enumerate(byte_characters()))
+        self.raw = [i.to_bytes(WIDTH, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.space = regex.compile(Tokens.SPACE)
+        self.word = regex.compile(Tokens.WORD).findall
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self._ready = True
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if max(chunk) < self.PLAIN_BELOW and not any(s in chunk for s in self.specials):
-            parts = []
-            for word in self.word(chunk.lower()):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = self._encode(word)
-                    self._keep(self.words, word, ids)
-                parts.append(ids)
-            ids = b"".join(parts)
-        else:
-            ids = self._encode(chunk)
-        self._keep(self.chunks, chunk, ids)
-        return ids
-
-    @staticmethod
-    def _keep(memo: dict[str, bytes], key: str, ids: bytes) -> None:
-        if len(key) <= MEMO_LENGTH:
-            if len(memo) >= MEMO_ENTRIES:
-                memo.clear()
-            memo[key] = ids
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        self._prepare()
-        chunks = self.space.split(text) if self.SEPARATORS.search(text) else text.split()
-        known = self.chunks.get
-        return b"".join([known(c) or self._chunk(c) for c in chunks if c])
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        plain, other = set(), set()
+        split = []
+        for text in texts:
+            if self._is_plain(text):
+                text = text.lower()
+                if not Tokens.TANGLED.search(text):
+                    text = text.replace(",", " , ").replace(".", " . ")
+                split.append(text.split())
+                plain.update(split[-1])
+            else:
+                split.append([c for c in self.space.split(text) if c])
+                other.update(split[-1])
+        known = self.chunks.keys()
+        new = (plain - known, other - plain - known)
+        self._learn(*new)
+        ids = self.chunks.__getitem__
+        out = [b"".join(map(ids, chunks)) for chunks in split]
+        for chunk in (c for chunks in new for c in chunks if len(c) > MEMO_LENGTH):
+            del self.chunks[chunk]
+        if len(self.chunks) > MEMO_ENTRIES:
+            self.chunks.clear()
+        return out
+
+    def _is_plain(self, text: str) -> bool:
+        """Whether the str methods split and lower-case a text as the file says, and it names no special token."""
+        odd = Tokens.ODD_ASCII if text.isascii() else Tokens.ODD
+        return not odd.search(text) and not any(s in text for s in self.specials)
+
+    def _learn(self, plain: set[str], other: set[str]) -> None:
+        known = self.chunks
+        for chunk in plain:
+            if chunk.isalpha():
+                known[chunk] = self._word(chunk)
+        for chunk in plain:
+            if not chunk.isalpha():
+                known[chunk] = b"".join([known.get(w) or self._word(w) for w in self.word(chunk)])
+        known.update(zip(other, self._texts(list(other))))
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _word(self, word: str) -> bytes:
+        """A word of the pattern goes to the merges as it is, its bytes as characters."""
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.merges(shown)])
+
+
+@lru_cache(maxsize=2)
+def _encoder(definition: str) -> _Encoder:
+    """One for each definition and worker process."""
+    return _Encoder(definition)
 
 
 class Packer:
@@ -247,9 +286,11 @@ def pack(
         def rows() -> Iterator[tuple]:
             packer = Packer(capacity, windows, task << SEQUENCE_BITS)
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = tokens.encode(text.as_py()) + end
-                    yield from packer.add(doc, 0, ids, len(ids) // WIDTH)
+                docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for part in slices(texts, SLICE):
+                    for doc, ids in zip(docs[part], tokens.encode_all(texts[part])):
+                        ids += end
+                        yield from packer.add(doc, 0, ids, len(ids) // WIDTH)
             yield from packer.merge()
             yield from packer.remainder()
 
