@@ -14,7 +14,7 @@ from msgtriage.llm import dart_minhash, exact_dedup, language_id, packing, quali
 from msgtriage.llm.common import fresh, materialize
 
 #: Documents whose language is less certain than this go.
-LEAST_CERTAIN = 0.5
+LEAST_CERTAIN = 0.4
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
