@@ -61,7 +61,7 @@ ROWS = 6
 SIMILARITY = 0.8
 #: Smallest ids of a bucket that the rest is compared with in the second round, and members of a class with
 #: which one that failed is compared first; ``GROWTH`` times as many in each further round.
-CENTRES = TRIES = GROWTH = 16
+CENTRES = TRIES = GROWTH = 8
 #: Coordinates of which a bit screens pairs before they are verified.
 BITS = 128
 SEED = 9
@@ -180,10 +180,10 @@ def bits(sketches: np.ndarray) -> np.ndarray:
 def _alike(similarity: float, coordinates: int, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """Whether two documents may be similar, by the bits in which they differ.
 
-    At the threshold a bit differs with probability (1 - similarity) / 2; four standard deviations more are let pass.
+    At the threshold a bit differs with probability (1 - similarity) / 2; three standard deviations more are let pass.
     """
     n, p = min(BITS, coordinates), (1 - similarity) / 2
-    most = math.floor(n * p + 4 * math.sqrt(n * p * (1 - p)))
+    most = math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
     return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1])) <= most
 
 
@@ -233,22 +233,21 @@ def element_column(weights: str, words: int):
     return apply
 
 
-def _similarity(weights: str):
-    """Exact Jaccard similarity of two element columns, a pair at a time, in batches."""
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
+def exact_similarity(weights: str) -> Column:
+    """Jaccard similarity of the elements ea and eb, with their weights wa and wb."""
+
+    def counted(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
         out = []
         for x, u, y, v in zip(a, wa, b, wb):
             _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-            if weights == "set":
-                shared = len(i)
-                out.append(shared / (len(x) + len(y) - shared))
-            else:
-                low = np.minimum(u[i], v[j]).sum()
-                out.append(low / (u.sum() + v.sum() - low))
+            low = np.minimum(u[i], v[j]).sum()
+            out.append(low / (u.sum() + v.sum() - low))
         return pd.Series(out, dtype=float)
 
-    return similarity
+    if weights == "count":
+        return F.pandas_udf(counted, "double")("ea", "wa", "eb", "wb")
+    shared = F.size(F.array_intersect("ea", "eb"))
+    return shared / (F.size("ea") + F.size("eb") - shared)
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -259,7 +258,9 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     each task before the shuffle.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    roots = nodes.select("id", F.col("id").alias("root"))
+    own = nodes.select("id", F.col("id").alias("root"))
+    near = both.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    roots = materialize(own.union(near).groupBy("id").agg(F.min("root").alias("root")), "roots")
     while True:
         told = both.join(roots.withColumnRenamed("id", "b"), "b").select(
             F.col("a").alias("id"), "root", F.lit(None).cast("long").alias("old"))
@@ -299,39 +300,40 @@ def near_classes(
     first = materialize(sketched.groupBy("digest").agg(
         F.min("id").alias("rep"), F.min_by(F.struct("bands", "u", "v"), "id").alias("s")), "distinct")
     known = first.where(F.col("rep").isNotNull())
-    entries = known.select(F.col("rep").alias("id"), F.explode("s.bands").alias("bucket"))
+    entries = known.select(F.col("rep").alias("id"), "s.u", "s.v", F.explode("s.bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    flags = known.select(F.col("rep").alias("id"), "s.u", "s.v")
-    members = materialize(entries.join(shared, "bucket").join(flags, "id"), "members")
+    members = materialize(entries.join(shared, "bucket"), "members")
 
     def alike(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
         return _alike(similarity, coordinates, a, b)
 
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
-    held = texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # The same plan at every size: what is wanted grows with the table, so it is never broadcast.
+    held = texts.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     elements = materialize(held.select("id", element_column(weights, words)(F.col("text")).alias("e")).select(
         "id", "e.elements", "e.weights"), "elements")
-    exact = _similarity(weights)
+    exact = exact_similarity(weights)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """a, b, s of distinct pairs."""
         one = elements.select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"))
         two = elements.select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"))
         joined = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
-        return materialize(joined.select("a", "b", exact("ea", "wa", "eb", "wb").alias("s")), "verified")
+        return materialize(joined.select("a", "b", exact.alias("s")), "verified")
 
     # Stars: everyone in a bucket against its smallest id, which settles groups of near copies; then
     # those that fail among themselves, against the smallest few, which settles buckets of unlike texts.
     stars, left, centres = [], members, 1
-    while True:
+    while left is not None:
         paired = materialize(_stars(left, centres, alike), "star")
         if not paired.limit(1).count():
             break
         star = materialize(paired.join(verified(paired), ["a", "b"]), "judged")
         stars.append(star.drop("last"))
-        left = star.where(F.col("b") > F.col("last")).groupBy("bucket", F.col("b").alias("id"), "u", "v").agg(
-            F.max("s").alias("s")).where(F.col("s") < similarity).drop("s")
+        beyond = star.where(F.col("b") > F.col("last"))
+        left = beyond.groupBy("bucket", F.col("b").alias("id"), "u", "v").agg(F.max("s").alias("s")).where(
+            F.col("s") < similarity).drop("s") if beyond.limit(1).count() else None
         centres = CENTRES if centres == 1 else GROWTH * centres
     if not stars:
         return _with_classes(sketched, first, None)
