@@ -37,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from msgtriage.llm.common import bucket_of, materialize, text_or_empty, uniform_of
@@ -52,7 +53,7 @@ RATE = 0.1
 SAMPLE_DOCS = 1_000
 SAMPLE_PASSES = 8
 FLUSH = 200_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SEED = 1
 ADD = 0.1
 
@@ -69,13 +70,15 @@ def words(raw: bytes) -> list[bytes]:
     return found
 
 
-def _slices(texts: list[bytes]) -> Iterator[slice]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= SLICE_BYTES or i == len(texts) - 1:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
+def _slices(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+    """The texts of a column, about ``SLICE_BYTES`` at a time."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.zeros(0)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield slice(start, stop), column.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 # --- counts ------------------------------------------------------------------
@@ -98,9 +101,8 @@ def count_words(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, train in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = words(text.as_py())
                 table = tables[train]
-                table.update(found)
+                table.update(words(text.as_py()))
                 if len(table) >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -244,11 +246,11 @@ def contexts(classes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.n
     return near, far, classes
 
 
-def streams(texts: list[bytes], number: dict[bytes, int], rare: int, start: int) -> Iterator[tuple]:
+def streams(column: pa.Array, number: dict[bytes, int], rare: int, start: int) -> Iterator[tuple]:
     """Contexts and tokens of texts, a slice at a time; ``number`` gives the class of a word."""
     find = number.get
-    for part in _slices(texts):
-        split = [words(t) for t in texts[part]]
+    for _, texts in _slices(column):
+        split = [words(t) for t in texts]
         lengths = np.array([len(p) for p in split])
         flat = np.fromiter((find(w, rare) for p in split for w in p), np.int64, int(lengths.sum()))
         yield contexts(flat, lengths, start)
@@ -288,8 +290,8 @@ class LanguageModel:
         number = {w: i for i, w in enumerate(self.counts.words[:self.classes])}
         documents = max(1, rows.count())
         sample = rows.where(uniform_of(F.col("id"), seed=SEED) < SAMPLE_DOCS / documents).select("text").toPandas()
-        texts = sorted(map(bytes, sample["text"]))
-        for i in range(SAMPLE_PASSES if texts else 0):
+        texts = pa.array(sorted(map(bytes, sample["text"])), pa.binary())
+        for i in range(SAMPLE_PASSES if len(texts) else 0):
             self.network.pass_over(streams(texts, number, self.classes, self.network.start), i)
         shapes = [(k, v.shape) for k, v in sorted(self.network.w.items())]
         shared = spark.sparkContext.broadcast(
@@ -299,17 +301,18 @@ class LanguageModel:
         def flat(weights: Weights) -> np.ndarray:
             return np.concatenate([weights[k].ravel() for k, _ in shapes]).astype(np.float64)
 
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             share, start, memory, numbers = shared.value
             network = LogBilinear(share, *({k: v.copy() for k, v in x.items()} for x in (start, memory)))
 
             def all_streams() -> Iterator:
                 for batch in batches:
-                    yield from streams(list(map(bytes, batch["text"])), numbers, rare, network.start)
+                    yield from streams(batch.column(0), numbers, rare, network.start)
 
             tokens = network.pass_over(all_streams(), SAMPLE_PASSES)
             if tokens:
-                yield pd.DataFrame({"tokens": [tokens], "weights": [(flat(network.w) * tokens).tobytes()]})
+                yield pa.RecordBatch.from_pydict(
+                    {"tokens": [tokens], "weights": [(flat(network.w) * tokens).tobytes()]})
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tokens, total = 0, 0.0
@@ -320,7 +323,7 @@ class LanguageModel:
                 yield pd.DataFrame({"tokens": [tokens], "weights": [total.tobytes()]})
 
         schema = "tokens long, weights binary"
-        learnt = materialize(rows.select("text").mapInPandas(local, schema), "network")
+        learnt = materialize(rows.select("text").mapInArrow(local, schema), "network")
         width = max(1, math.isqrt(learnt.count()))
         # A round robin, so each of the teams adds up about as many as there are teams.
         partial = learnt.repartition(width).mapInPandas(add, schema)
@@ -350,9 +353,9 @@ class LanguageModel:
             known = model.normalisers()
             other, find = len(frequent), number.get
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for part in _slices(texts):
-                    split = [words(t) for t in texts[part]]
+                ids = batch.column(0)
+                for part, texts in _slices(batch.column(1)):
+                    split = [words(t) for t in texts]
                     lengths = np.array([len(p) for p in split])
                     size = int(lengths.sum())
                     flat = np.fromiter((find(w, other) for p in split for w in p), np.int64, size)
