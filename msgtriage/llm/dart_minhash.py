@@ -25,14 +25,12 @@ verified by exact similarity on the whole texts; those that fail go on to rounds
 among themselves, against the ``CENTRES`` smallest ids, then ``GROWTH`` times as many,
 until none is left. So what a round verifies is linear in the size of a bucket,
 and few rounds are needed. Pairs that one bit of many coordinates tells to be far
-apart are not verified. Then, what a star may have missed: a document that
-failed against a centre may still be linked to one that did not. By the triangle
-inequality of the Jaccard distance this needs a distance to the centre of at most
-twice the threshold's, and of the other at least the difference. Only such pairs
-are verified, only where the two are not in one class already, and a few at a
+apart are not verified. Then, what a star may have missed: a document that is
+linked to a centre leaves its bucket, so one that is not linked to that centre may
+never have met it there. All of another class meet it now, a few of each class at a
 time: a document that is near to many members of a class meets one of them soon.
-(For counts, the weighted distance is a metric as well.) Classes are the connected
-components of all verified links, by repeated minima over the links, in tables.
+Classes are the connected components of all verified links, by repeated minima over
+the links, in tables.
 
 A copy's class id is the smallest id in its component. A null text is an empty
 text; texts without a word have no elements and are equal to one another. Rows
@@ -288,6 +286,62 @@ def _stars(members: DataFrame, centres: int, alike) -> DataFrame:
         "bucket", "a", "b", "u", "v", "last")
 
 
+def bucket_classes(members: DataFrame, verified, similarity: float, alike) -> DataFrame | None:
+    """id, root: components of the similar pairs that share a bucket; None, if no bucket has two members.
+
+    ``members`` has bucket, id, u, v, stored; ``verified`` gives a, b, s of distinct pairs a, b.
+    """
+    wanted = members.select("id").distinct()
+    # Stars: everyone in a bucket against its smallest id, which settles groups of near copies; then
+    # those that fail among themselves, against the smallest few, which settles buckets of unlike texts.
+    stars, left, centres = [], members, 1
+    while left is not None:
+        paired = materialize(_stars(left, centres, alike), "star")
+        if not paired.limit(1).count():
+            break
+        star = materialize(paired.join(verified(paired), ["a", "b"]), "judged")
+        stars.append(star.where(F.col("s") >= similarity).select("bucket", "a", "b"))
+        beyond = star.where(F.col("b") > F.col("last"))
+        left = beyond.groupBy("bucket", F.col("b").alias("id"), "u", "v").agg(F.max("s").alias("s")).where(
+            F.col("s") < similarity).drop("s") if beyond.limit(1).count() else None
+        centres = CENTRES if centres == 1 else GROWTH * centres
+    if not stars:
+        return None
+    arms = stars[0]
+    for more in stars[1:]:
+        arms = arms.unionByName(more)
+    links = arms.select("a", "b").distinct()
+    roots = materialize(components(links, wanted), "classes")
+    # What a star may have missed: y left the bucket by a link to a centre, so those that are in another
+    # class by now may never have met it there. They meet all such y, whatever the centre.
+    placed = members.join(roots, "id")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "low != high").select("bucket")
+    waiting = materialize(placed.join(mixed, "bucket"), "waiting")
+    gone = arms.select("bucket", F.col("b").alias("id")).distinct()
+    in_order = Window.partitionBy("bucket", "root").orderBy(F.xxhash64("id"), "id")
+    others = materialize(waiting.join(gone, ["bucket", "id"], "left_semi").withColumn(
+        "rank", F.row_number().over(in_order)), "others")
+    most = others.agg(F.max("rank")).first()[0] or 0
+    done, tries = 0, TRIES
+    while done < most:
+        some = others.where((F.col("rank") > done) & (F.col("rank") <= done + tries)).select(
+            "bucket", F.col("id").alias("y"), F.col("u").alias("yu"), F.col("v").alias("yv"), F.col("root").alias("root_y"))
+        near = (F.col("root") != F.col("root_y")) & alike((F.col("u"), F.col("v")), (F.col("yu"), F.col("yv")))
+        pairs = materialize(waiting.join(some, "bucket").where(near).select(
+            F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct(), "fringe")
+        done, tries = done + tries, GROWTH * tries
+        if not pairs.limit(1).count():
+            continue
+        found = materialize(verified(pairs).where(F.col("s") >= similarity).select("a", "b"), "linked")
+        if found.limit(1).count():
+            links = links.union(found)
+            roots = materialize(components(links, wanted), "classes")
+            waiting = materialize(waiting.drop("root").join(roots, "id"), "waiting")
+            others = materialize(others.drop("root").join(roots, "id"), "others")
+    return roots
+
+
 def near_classes(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, similarity: float = SIMILARITY,
     weights: str = "set", words: int = SHINGLE, coordinates: int = COORDINATES, rows: int = ROWS,
@@ -322,56 +376,7 @@ def near_classes(
         joined = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
         return materialize(joined.select("a", "b", exact.alias("s")), "verified")
 
-    # Stars: everyone in a bucket against its smallest id, which settles groups of near copies; then
-    # those that fail among themselves, against the smallest few, which settles buckets of unlike texts.
-    stars, left, centres = [], members, 1
-    while left is not None:
-        paired = materialize(_stars(left, centres, alike), "star")
-        if not paired.limit(1).count():
-            break
-        star = materialize(paired.join(verified(paired), ["a", "b"]), "judged")
-        stars.append(star.drop("last"))
-        beyond = star.where(F.col("b") > F.col("last"))
-        left = beyond.groupBy("bucket", F.col("b").alias("id"), "u", "v").agg(F.max("s").alias("s")).where(
-            F.col("s") < similarity).drop("s") if beyond.limit(1).count() else None
-        centres = CENTRES if centres == 1 else GROWTH * centres
-    if not stars:
-        return _with_classes(sketched, first, None)
-    arms = stars[0]
-    for more in stars[1:]:
-        arms = arms.unionByName(more)
-    links = arms.where(F.col("s") >= similarity).select("a", "b").distinct()
-    roots = materialize(components(links, wanted), "classes")
-    # What a star may have missed: x failed against the centre a, y did not, and x and y may be near. All
-    # that did not fail are in the class of the centre, so x is settled once it is linked to one of them.
-    slack = 1 - similarity
-    of_x, of_a = (roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in ("x", "a"))
-    waiting = materialize(arms.where((F.col("s") < similarity) & (F.col("s") >= 1 - 2 * slack)).select(
-        "bucket", "a", F.col("b").alias("x"), F.col("u").alias("xu"), F.col("v").alias("xv"), (1 - F.col("s")).alias("dx"),
-    ).join(of_x, "x").join(of_a, "a").where("root_x != root_a").drop("root_x"), "waiting")
-    held_on = arms.where(F.col("s") >= similarity).groupBy("bucket", F.col("b").alias("y"), "u", "v").agg(
-        F.min(F.struct("a", (1 - F.col("s")).alias("dy"))).alias("c")).select("bucket", "c.*", "y", "u", "v")
-    in_order = Window.partitionBy("bucket", "a").orderBy(F.xxhash64("y"), "y")
-    others = materialize(held_on.join(waiting.select("bucket", "a").distinct(), ["bucket", "a"], "left_semi").withColumn(
-        "rank", F.row_number().over(in_order)), "others")
-    most = others.agg(F.max("rank")).first()[0] or 0
-    done, tries, found = 0, TRIES, []
-    while done < most:
-        some = others.where((F.col("rank") > done) & (F.col("rank") <= done + tries))
-        near = (F.col("dy") >= F.col("dx") - slack - 1e-9) & alike(
-            (F.col("xu"), F.col("xv")), (F.col("u"), F.col("v")))
-        pairs = materialize(waiting.join(some, ["bucket", "a"]).where(near).select(
-            "x", "root_a", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "fringe")
-        linked = materialize(pairs.join(verified(pairs).where(F.col("s") >= similarity), ["a", "b"]), "linked")
-        found.append(linked.select("a", "b"))
-        waiting = materialize(
-            waiting.join(linked.select("x", "root_a").distinct(), ["x", "root_a"], "left_anti"), "waiting")
-        done, tries = done + tries, GROWTH * tries
-    for more in found:
-        links = links.union(more)
-    if found:
-        roots = components(links, wanted)
-    return _with_classes(sketched, first, roots)
+    return _with_classes(sketched, first, bucket_classes(members, verified, similarity, alike))
 
 
 def _with_classes(sketched: DataFrame, first: DataFrame, roots: DataFrame | None) -> DataFrame:

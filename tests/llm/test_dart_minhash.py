@@ -117,3 +117,26 @@ def test_counts_as_weights(spark):
     sets = {r["class_id"] for r in D.near_classes(documents(spark, rows)).collect()}
     counts = {r["doc_id"]: r["class_id"] for r in D.near_classes(documents(spark, rows), weights="count").collect()}
     assert sets == {1} and counts == {1: 1, 2: 1, 3: 3}
+
+
+def one_bucket(spark, documents, differing, similarity=0.8):
+    """The classes of documents (id, set of elements) in one bucket; all bits from ``differing`` on are 0."""
+    rows = [(7, i, (1 << differing.get(i, 0)) - 1, 0) for i in documents]
+    members = D.materialize(spark.createDataFrame(rows, "bucket long, id long, u long, v long"), "members")
+
+    def verified(pairs):
+        found = [(r["a"], r["b"]) for r in pairs.collect()]
+        judged = [(a, b, len(documents[a] & documents[b]) / len(documents[a] | documents[b])) for a, b in found]
+        return spark.createDataFrame(judged, "a long, b long, s double")
+
+    roots = D.bucket_classes(members, verified, similarity, lambda a, b: D._alike(similarity, 128, a, b))
+    return {r["id"]: r["root"] for r in roots.collect()}
+
+
+def test_chain_in_one_bucket(spark):
+    """y is linked to a centre and leaves; x is far from that centre, also by the bits, and linked to y alone."""
+    a, y, x = set(range(100)), set(range(10, 110)), set(range(20, 120))
+    for centre in (1, 3):  # 3 is the second of the centres in the second round, y and x are none of them
+        others = {i: set(range(1000 * i, 1000 * i + 100)) for i in range(1, 12) if i != centre}
+        got = one_bucket(spark, others | {centre: a, 20: y, 21: x}, {20: 20, 21: 40})
+        assert {got[centre], got[20], got[21]} == {centre} and all(got[i] == i for i in others)
