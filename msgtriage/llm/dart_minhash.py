@@ -24,8 +24,10 @@ document of a bucket is paired with the smallest id there, and the pairs are
 verified by exact similarity on the whole texts; those that fail go on to rounds
 among themselves, against the ``CENTRES`` smallest ids, then ``GROWTH`` times as many,
 until none is left. So what a round verifies is linear in the size of a bucket,
-and few rounds are needed. Pairs that one bit of many coordinates tells to be far
-apart are not verified. Then, what a star may have missed: a document that is
+and few rounds are needed. Pairs that are surely far apart are not verified: elements
+fall into ``64 * LONGS`` bins, a bit of each tells whether its weight is odd, and every
+bit in which two documents differ takes at least one element, or unit of weight, that
+they do not share. So no similar pair is lost by it. Then, what a star may have missed: a document that is
 linked to a centre leaves its bucket, so one that is not linked to that centre may
 never have met it there. All of another class meet it now, a few of each class at a
 time: a document that is near to many members of a class meets one of them soon.
@@ -60,8 +62,10 @@ SIMILARITY = 0.8
 #: Smallest ids of a bucket that the rest is compared with in the second round, and members of a class with
 #: which one that failed is compared first; ``GROWTH`` times as many in each further round.
 CENTRES = TRIES = GROWTH = 8
-#: Coordinates of which a bit screens pairs before they are verified.
-BITS = 128
+#: Longs of bits that screen pairs before they are verified.
+LONGS = 8
+PARITY = [f"p{i}" for i in range(LONGS)]
+MEMBERS = "bucket long, id long, n double, " + ", ".join(f"{p} long" for p in PARITY)
 SEED = 9
 #: Characters of text, and documents, whose elements and darts a task holds at once, about.
 SLICE = 1 << 18
@@ -167,27 +171,27 @@ def bands(sketches: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def bits(sketches: np.ndarray) -> np.ndarray:
-    """[document, 2]: the last bit of each of the first ``BITS`` coordinates."""
-    out = np.zeros((len(sketches), 2), np.uint64)
-    for i in range(min(BITS, sketches.shape[1])):
-        out[:, i // 64] |= (sketches[:, i] & np.uint64(1)) << np.uint64(i % 64)
-    return out.view(np.int64)
+def parity(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``LONGS`` longs: a bit for each bin of elements, whether the sum of its weights is odd."""
+    bins = (mix(elements ^ _B) % np.uint64(64 * LONGS)).astype(np.int64)
+    odd = np.bincount(bins, weights, 64 * LONGS).astype(np.int64) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
-def _alike(similarity: float, coordinates: int, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """Whether two documents may be similar, by the bits in which they differ.
+def _alike(similarity: float, other: str) -> Column:
+    """Whether a document may be as similar to another, whose columns begin with ``other``: false only if it is not.
 
-    At the threshold a bit differs with probability (1 - similarity) / 2; three standard deviations more are let pass.
+    With total weights n and m, and a difference of at least d, the similarity is (n + m - d) / (n + m + d) at most.
     """
-    n, p = min(BITS, coordinates), (1 - similarity) / 2
-    most = math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
-    return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1])) <= most
+    sizes = F.col("n") + F.col(f"{other}n")
+    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(other + p))) for p in PARITY), F.lit(0))
+    least = F.greatest(bits.cast("double"), F.abs(F.col("n") - F.col(f"{other}n")))
+    return least * (1 + similarity) <= sizes * (1 - similarity + 1e-9)
 
 
 def sketch(docs: DataFrame, id_column: str, text_column: str, *, weights: str = "set", words: int = SHINGLE,
            coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
-    """id, digest of all elements, band hashes (none for a text without elements), two longs of bits."""
+    """id, digest of all elements, band hashes (none for a text without elements), total weight, bits of parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,20 +201,20 @@ def sketch(docs: DataFrame, id_column: str, text_column: str, *, weights: str =
                 digests = [hashlib.blake2b(e.tobytes() + (w.tobytes() if weights != "set" else b""),
                                            digest_size=16).digest() for e, w in held]
                 found: list = [[] for _ in held]
-                flags = np.zeros((len(held), 2), np.int64)
                 some = [j for j, (e, _) in enumerate(held) if len(e)]
                 for at in range(0, len(some), DOCUMENTS):
                     group = some[at:at + DOCUMENTS]
                     sketches = signatures([held[j] for j in group], coordinates)
-                    flags[group] = bits(sketches)
                     for j, row in zip(group, bands(sketches, rows)):
                         found[j] = row.view(np.int64)
+                flags = np.array([parity(e, w) for e, w in held]).reshape(len(held), LONGS)
                 yield pa.RecordBatch.from_arrays(
                     [ids[part], pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64())),
-                     pa.array(flags[:, 0]), pa.array(flags[:, 1])], names=["id", "digest", "bands", "u", "v"])
+                     pa.array([float(w.sum()) for _, w in held]), *[pa.array(flags[:, i]) for i in range(LONGS)]],
+                    names=["id", "digest", "bands", "n", *PARITY])
 
     return docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text")).mapInArrow(
-        run, "id long, digest binary, bands array<long>, u long, v long")
+        run, "id long, digest binary, bands array<long>, n double, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def element_column(weights: str, words: int):
@@ -271,39 +275,47 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         roots = materialize(jumped.select("id", F.col("next").alias("root")), "roots")
 
 
-def _stars(members: DataFrame, centres: int, alike) -> DataFrame:
-    """bucket, a, b, u, v, last: every member b with the smaller ones of the bucket's ``centres`` smallest ids, a.
+def _prefixed(prefix: str) -> list[Column]:
+    """What the screen reads, under names that begin with ``prefix``."""
+    return [F.col(c).alias(prefix + c) for c in ("n", *PARITY)]
 
-    The first centre meets all, the others those that are alike by the bits. ``last`` is the largest
-    centre. Ranking the centres drops all others in each task before the shuffle.
+
+def _stars(members: DataFrame, centres: int, similarity: float) -> DataFrame:
+    """bucket, a, b, n, bits, last, near: every member b with the smaller ones of the bucket's ``centres`` smallest ids, a.
+
+    Only pairs that may be similar, told by ``near``, and those with the first centre, so that each b is there.
+    ``last`` is the largest centre. Ranking the centres drops all others in each task before the shuffle.
     """
     by_id = Window.partitionBy("bucket").orderBy("id")
     few = members.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= centres).select(
-        "bucket", F.col("id").alias("a"), F.col("u").alias("au"), F.col("v").alias("av"), "rank")
+        "bucket", F.col("id").alias("a"), *_prefixed("a_"), "rank")
     few = few.withColumn("last", F.max("a").over(Window.partitionBy("bucket")))
-    met = (F.col("rank") == 1) | alike((F.col("au"), F.col("av")), (F.col("u"), F.col("v")))
-    return members.withColumnRenamed("id", "b").join(few, "bucket").where((F.col("b") > F.col("a")) & met).select(
-        "bucket", "a", "b", "u", "v", "last")
+    near = _alike(similarity, "a_")
+    return members.withColumnRenamed("id", "b").join(few, "bucket").where(
+        (F.col("b") > F.col("a")) & ((F.col("rank") == 1) | near)).select(
+        "bucket", "a", "b", "n", *PARITY, "last", near.alias("near"))
 
 
-def bucket_classes(members: DataFrame, verified, similarity: float, alike) -> DataFrame | None:
+def bucket_classes(members: DataFrame, verified, similarity: float) -> DataFrame | None:
     """id, root: components of the similar pairs that share a bucket; None, if no bucket has two members.
 
-    ``members`` has bucket, id, u, v, stored; ``verified`` gives a, b, s of distinct pairs a, b.
+    ``members`` is as ``MEMBERS`` says, and stored; ``verified`` gives a, b, s of distinct pairs a, b.
     """
     wanted = members.select("id").distinct()
     # Stars: everyone in a bucket against its smallest id, which settles groups of near copies; then
     # those that fail among themselves, against the smallest few, which settles buckets of unlike texts.
     stars, left, centres = [], members, 1
     while left is not None:
-        paired = materialize(_stars(left, centres, alike), "star")
+        paired = materialize(_stars(left, centres, similarity), "star")
         if not paired.limit(1).count():
             break
-        star = materialize(paired.join(verified(paired), ["a", "b"]), "judged")
-        stars.append(star.where(F.col("s") >= similarity).select("bucket", "a", "b"))
+        found = verified(paired.where("near").select("a", "b").distinct()).where(F.col("s") >= similarity)
+        star = materialize(paired.join(found, ["a", "b"], "left"), "judged")
+        stars.append(star.where(F.col("s").isNotNull()).select("bucket", "a", "b"))
         beyond = star.where(F.col("b") > F.col("last"))
-        left = beyond.groupBy("bucket", F.col("b").alias("id"), "u", "v").agg(F.max("s").alias("s")).where(
-            F.col("s") < similarity).drop("s") if beyond.limit(1).count() else None
+        left = materialize(beyond.groupBy("bucket", F.col("b").alias("id")).agg(
+            F.max("s").alias("s"), *[F.first(c).alias(c) for c in ("n", *PARITY)]).where("s IS NULL").drop("s"),
+            "left") if beyond.limit(1).count() else None
         centres = CENTRES if centres == 1 else GROWTH * centres
     if not stars:
         return None
@@ -326,8 +338,8 @@ def bucket_classes(members: DataFrame, verified, similarity: float, alike) -> Da
     done, tries = 0, TRIES
     while done < most:
         some = others.where((F.col("rank") > done) & (F.col("rank") <= done + tries)).select(
-            "bucket", F.col("id").alias("y"), F.col("u").alias("yu"), F.col("v").alias("yv"), F.col("root").alias("root_y"))
-        near = (F.col("root") != F.col("root_y")) & alike((F.col("u"), F.col("v")), (F.col("yu"), F.col("yv")))
+            "bucket", F.col("id").alias("y"), *_prefixed("y_"), F.col("root").alias("root_y"))
+        near = (F.col("root") != F.col("root_y")) & _alike(similarity, "y_")
         pairs = materialize(waiting.join(some, "bucket").where(near).select(
             F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct(), "fringe")
         done, tries = done + tries, GROWTH * tries
@@ -352,15 +364,12 @@ def near_classes(
     sketched = materialize(sketch(docs, id_column, text_column, weights=weights, words=words,
                                   coordinates=coordinates, rows=rows), "sketch")
     first = materialize(sketched.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.min_by(F.struct("bands", "u", "v"), "id").alias("s")), "distinct")
+        F.min("id").alias("rep"), F.min_by(F.struct("bands", "n", *PARITY), "id").alias("s")), "distinct")
     known = first.where(F.col("rep").isNotNull())
-    entries = known.select(F.col("rep").alias("id"), "s.u", "s.v", F.explode("s.bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    entries = known.select(F.explode("s.bands").alias("bucket"), F.col("rep").alias("id"), "s.n", *[f"s.{p}" for p in PARITY])
+    shared = entries.groupBy("bucket").count().where("count > 1").select("bucket")
     members = materialize(entries.join(shared, "bucket"), "members")
 
-    def alike(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-        return _alike(similarity, coordinates, a, b)
-
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     # The same plan at every size: what is wanted grows with the table, so it is never broadcast.
@@ -376,7 +385,7 @@ def near_classes(
         joined = pairs.select("a", "b").distinct().join(one, "a").join(two, "b")
         return materialize(joined.select("a", "b", exact.alias("s")), "verified")
 
-    return _with_classes(sketched, first, bucket_classes(members, verified, similarity, alike))
+    return _with_classes(sketched, first, bucket_classes(members, verified, similarity))
 
 
 def _with_classes(sketched: DataFrame, first: DataFrame, roots: DataFrame | None) -> DataFrame:

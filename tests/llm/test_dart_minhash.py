@@ -119,18 +119,24 @@ def test_counts_as_weights(spark):
     assert sets == {1} and counts == {1: 1, 2: 1, 3: 3}
 
 
-def one_bucket(spark, documents, differing, similarity=0.8):
-    """The classes of documents (id, set of elements) in one bucket; all bits from ``differing`` on are 0."""
-    rows = [(7, i, (1 << differing.get(i, 0)) - 1, 0) for i in documents]
-    members = D.materialize(spark.createDataFrame(rows, "bucket long, id long, u long, v long"), "members")
+def member(bucket, i, elements):
+    weights = np.ones(len(elements))
+    return (bucket, i, float(len(elements)), *D.parity(np.array(sorted(elements), np.uint64), weights).tolist())
+
+
+def one_bucket(spark, documents, similarity=0.8):
+    """The classes of documents (id, set of elements) that share one bucket, and the pairs that were verified."""
+    members = D.materialize(spark.createDataFrame([member(7, i, e) for i, e in documents.items()], D.MEMBERS), "members")
+    seen = set()
 
     def verified(pairs):
         found = [(r["a"], r["b"]) for r in pairs.collect()]
+        seen.update(found)
         judged = [(a, b, len(documents[a] & documents[b]) / len(documents[a] | documents[b])) for a, b in found]
         return spark.createDataFrame(judged, "a long, b long, s double")
 
-    roots = D.bucket_classes(members, verified, similarity, lambda a, b: D._alike(similarity, 128, a, b))
-    return {r["id"]: r["root"] for r in roots.collect()}
+    roots = D.bucket_classes(members, verified, similarity)
+    return {r["id"]: r["root"] for r in roots.collect()}, seen
 
 
 def test_chain_in_one_bucket(spark):
@@ -138,5 +144,26 @@ def test_chain_in_one_bucket(spark):
     a, y, x = set(range(100)), set(range(10, 110)), set(range(20, 120))
     for centre in (1, 3):  # 3 is the second of the centres in the second round, y and x are none of them
         others = {i: set(range(1000 * i, 1000 * i + 100)) for i in range(1, 12) if i != centre}
-        got = one_bucket(spark, others | {centre: a, 20: y, 21: x}, {20: 20, 21: 40})
+        got, seen = one_bucket(spark, others | {centre: a, 20: y, 21: x})
         assert {got[centre], got[20], got[21]} == {centre} and all(got[i] == i for i in others)
+        assert len(seen) < 10
+
+
+def test_screen_passes_all_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for n in range(2000):
+        size = 9 * int(rng.integers(1, 200))  # shared 8/9 of each: 8 of 10
+        all_of = rng.integers(0, 2**62, size // 9 * 10)
+        a, b = (member(0, n, set(e.tolist())) for e in (all_of[:size], all_of[size // 9:]))
+        pairs.append((*a[1:], *b[2:]))
+    names = ["id", "n", *D.PARITY, "b_n", *[f"b_{p}" for p in D.PARITY]]
+    assert spark.createDataFrame(pairs, names).where(~D._alike(0.8, "b_")).count() == 0
+    unlike = [(*member(0, n, set(rng.integers(0, 2**62, 200).tolist()))[1:], *pairs[0][10:]) for n in range(9)]
+    assert spark.createDataFrame(unlike, names).where(D._alike(0.8, "b_")).count() == 0
+
+
+def test_weights_in_the_screen():
+    e = np.arange(3, dtype=np.uint64)
+    assert (D.parity(e, np.array([1.0, 2, 3])) == D.parity(e, np.array([3.0, 4, 1]))).all()
+    assert (D.parity(e, np.array([1.0, 2, 3])) != D.parity(e, np.array([1.0, 2, 4]))).any()
