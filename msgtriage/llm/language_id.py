@@ -6,11 +6,12 @@ states give probabilities of the languages. The probabilities of a document are
 the mean over all of its bytes.
 
 The network learns in numpy, by backpropagation through time with Adam, on the
-driver, from a sample of bounded size: at most about ``DOCS_PER_LANG`` documents
-of each of the ``MAX_LANGS`` most frequent languages, and ``WINDOWS_PER_DOC``
-windows of each, from anywhere in the text. Which documents these are depends on
-hashes of their ids, so a run can be repeated. Prediction sees the text alone, in
-Arrow batches, and moves no rows.
+driver, from a sample of bounded size: about ``SAMPLE_DOCS`` documents at most, shared
+out evenly among all languages that occur (``DOCS_PER_LANG`` at most, one at least),
+and ``WINDOWS_PER_DOC`` windows of each, from anywhere in the text. Which documents
+these are depends on hashes of their ids, so a run can be repeated. More than
+``MAX_LANGS`` languages are an error. Prediction sees the text alone, in Arrow
+batches, and moves no rows.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text
 if there is nothing to learn from.
@@ -35,10 +36,12 @@ ALPHABET = 256
 PAD = 256
 
 #: Bounds of what the network learns from.
-MAX_LANGS = 64
+MAX_LANGS = 1024
+SAMPLE_DOCS = 25_600
 DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 4
 ITERATIONS = 220
+LANGS_A_PASS = 64
 BATCH = 128
 SEED = 20
 
@@ -238,7 +241,7 @@ class LanguageModel:
     languages: list[str]
     weights: Weights
 
-    #: Windows that run through the network at once; their states fit in cache and memory.
+    #: Windows that run through the network at once, at up to 64 languages; their states fit in cache and memory.
     CHUNK = 2048
 
     @staticmethod
@@ -249,16 +252,20 @@ class LanguageModel:
             F.col(id_column).cast("string").alias("id"), F.col(text_column).alias("text"),
             F.col(lang_column).cast("string").alias("lang"),
         ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-        sizes = {r["lang"]: r["count"] for r in counts}
-        languages = sorted(sizes)
+        draw = uniform_of(F.coalesce("id", F.lit("")), F.col("text"), seed=SEED)
+        rows = rows.withColumn("draw", draw)
+        counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.min("draw").alias("least")).limit(
+            MAX_LANGS + 1).collect()
+        if len(counts) > MAX_LANGS:
+            raise ValueError(f"more than {MAX_LANGS} languages in {lang_column}")
+        languages = sorted(r["lang"] for r in counts)
         if not languages:
             return LanguageModel([], {})
-        draw = uniform_of(F.coalesce("id", F.lit("")), F.col("text"), seed=SEED)
-        share = F.lit(0.0)
-        for lang in languages:
-            share = F.when(F.col("lang") == lang, DOCS_PER_LANG / sizes[lang]).otherwise(share)
-        chosen = rows.where(draw < share)
+        each = min(DOCS_PER_LANG, SAMPLE_DOCS / len(languages))
+        # The smallest draw is always taken, so every language is learnt.
+        cuts = docs.sparkSession.createDataFrame(
+            [(r["lang"], max(each / r["size"], r["least"])) for r in counts], "lang string, cut double")
+        chosen = rows.join(F.broadcast(cuts), "lang").where("draw <= cut")
         # Windows of the chosen, from places that the same hashes name.
         starts = [
             F.floor(uniform_of(F.coalesce("id", F.lit("")), F.lit(k), seed=SEED + 1) * F.octet_length("text"))
@@ -271,7 +278,9 @@ class LanguageModel:
         windows = np.concatenate([windows_of(bytes(r)) for r in sample["raw"]])
         number = {lang: i for i, lang in enumerate(languages)}
         labels = sample["lang"].map(number).to_numpy()
-        return LanguageModel(languages, train(windows, labels, len(languages)))
+        # As many steps for every ``LANGS_A_PASS`` languages.
+        more = {"iterations": ITERATIONS * -(-len(languages) // LANGS_A_PASS)} if len(languages) > LANGS_A_PASS else {}
+        return LanguageModel(languages, train(windows, labels, len(languages), **more))
 
     def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
         """[text, language]: the mean over all bytes of each text."""
@@ -287,16 +296,16 @@ class LanguageModel:
         return sums / np.array([max(1, len(t)) for t in texts])[:, None]
 
     def _chunks(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """The windows of all texts, ``CHUNK`` at a time."""
-        held, size = [], 0
+        """The windows of all texts, ``CHUNK`` at a time, or fewer where many languages make their scores large."""
+        held, size, chunk = [], 0, max(1, self.CHUNK * 64 // max(64, len(self.languages)))
         for text in texts:
             windows = windows_of(text)
             while len(windows):
-                part = windows[:self.CHUNK - size]
+                part = windows[:chunk - size]
                 held.append(part)
                 size += len(part)
                 windows = windows[len(part):]
-                if size == self.CHUNK:
+                if size == chunk:
                     yield np.concatenate(held)
                     held, size = [], 0
         if held:

@@ -83,3 +83,27 @@ def test_one_language(spark):
     model = L.LanguageModel(["en"], small_network(1))
     langs, scores = model.predict(HARD_TEXTS)
     assert set(langs) == {"en", "und"} and max(scores) == pytest.approx(1)
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    seen = {}
+
+    def train(windows, labels, languages, **more):
+        seen.update(labels=set(labels.tolist()), more=more)
+        return L.new_weights(languages, np.random.default_rng(0))
+
+    monkeypatch.setattr(L, "train", train)
+    rows = [(i, f"{ENGLISH} {i}", f"lang{i % 70}" if i < 700 else f"rare{i}") for i in range(705)]
+    model = L.LanguageModel.fit(documents(spark, rows))
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.languages) == 75
+    assert seen == {"labels": set(range(75)), "more": {"iterations": 2 * L.ITERATIONS}}
+    texts = [ENGLISH.encode() * 40, GERMAN.encode()] * 3
+    want = model.document_probabilities(texts)
+    monkeypatch.setattr(L.LanguageModel, "CHUNK", 7)
+    assert np.allclose(model.document_probabilities(texts), want, atol=1e-6)
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 1)  # less than one a language
+    L.LanguageModel.fit(documents(spark, rows))
+    assert seen["labels"] == set(range(75))
+    monkeypatch.setattr(L, "MAX_LANGS", 74)
+    with pytest.raises(ValueError, match="74"):
+        L.LanguageModel.fit(documents(spark, rows))
