@@ -167,3 +167,10 @@ def test_weights_in_the_screen():
     e = np.arange(3, dtype=np.uint64)
     assert (D.parity(e, np.array([1.0, 2, 3])) == D.parity(e, np.array([3.0, 4, 1]))).all()
     assert (D.parity(e, np.array([1.0, 2, 3])) != D.parity(e, np.array([1.0, 2, 4]))).any()
+
+
+def test_chain_at_the_least_similarity(spark):
+    """Links of exactly 4/5, the ends 3/5 alike: y and x meet, though both have seen the centre a."""
+    ends = {1: set(range(1, 5)), 2: set(range(1, 6)), 3: set(range(2, 6))}
+    got, seen = one_bucket(spark, ends)
+    assert set(got.values()) == {1} and (2, 3) in seen
