@@ -95,7 +95,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
     """The items that need a person, as the curated part of an evaluation set, numbered from 1."""
     curated = gold(spark, sf).where("should_escalate").withColumnRenamed("id", "doc_id")
-    return limits.number_rows(curated, "doc_id", "id").drop("doc_id")
+    return limits.number_all(curated, "doc_id", "id").drop("doc_id")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from msgtriage.session import materialize
+
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """The rows with the ``n`` lowest values of the unique ``key``.
@@ -29,6 +31,20 @@ def number_rows(small: DataFrame, key: str, id_col: str = "id", start: int = 1)
     return small.withColumn(id_col, (position + F.lit(start - 1)).cast("long"))
 
 
+def number_all(df: DataFrame, key: str, id_col: str = "id") -> DataFrame:
+    """E5: consecutive ids from 1 in the order of the unique ``key``, for any number of rows.
+
+    Ranges of the key are numbered by themselves; only their counts meet.
+    """
+    ranges = materialize(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    position = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranges.withColumn("_position", position).join(F.broadcast(offsets), "_range").withColumn(
+        id_col, (F.col("_position") + F.col("_offset")).cast("long")).drop("_range", "_position", "_offset")
+
+
 def sample_first(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows shown first."""
     return df.orderBy(key).limit(n)

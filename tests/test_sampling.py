@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 from conftest import plan_of
-from msgtriage.operators import sampling
+from msgtriage.operators import limits, sampling
 from msgtriage.packs import support
 from msgtriage.plans.dataprep import build_evaluation_set
 
@@ -74,3 +74,13 @@ def test_evaluation_set(spark):
     assert [r["id"] for r in built] == list(range(1, 59))
     assert built[0]["reference_resolution"] == "reply one" and built[-1]["reference_resolution"] == "reply 's"
     assert {r["difficulty_stratum"] for r in built} == {"routine_clear", "pii_account_lock"}
+
+
+def test_number_all_needs_no_single_task(spark):
+    keys = rng.sample(range(10**6), 500)
+    df = spark.createDataFrame([(k, str(k)) for k in keys], "key long, text string").repartition(5)
+    numbered = limits.number_all(df, "key")
+    got = sorted((r["id"], r["key"], r["text"]) for r in numbered.collect())
+    assert got == [(i, k, str(k)) for i, k in enumerate(sorted(keys), 1)]
+    assert numbered.columns == ["key", "text", "id"]
+    assert limits.number_all(df.limit(0), "key").collect() == []
