@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from compare import plan_of
 from msgtriage import schemas
 from msgtriage.operators import limits, pairs
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan_of
+from compare import plan_of
 from msgtriage.operators import retrieval
 from msgtriage.operators.retrieval import CaseIndex, rank_cases, retrieve
 from msgtriage.operators.tfidf import TfidfConfig, TfidfModel, retriever_config, vocabulary

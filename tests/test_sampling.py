@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from conftest import plan_of
+from compare import plan_of
 from msgtriage.operators import limits, sampling
 from msgtriage.packs import support
 from msgtriage.plans.dataprep import build_evaluation_set
