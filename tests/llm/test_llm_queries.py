@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 def test_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
@@ -27,7 +27,7 @@ def test_equals_sql(spark, name):
 
 def test_one_row_per_document(spark):
     documents = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
-    for name in ("op3_token_counts", "op7_byte_bpe", "op9_dart_minhash"):
+    for name in ("op3_token_counts", "op7_byte_bpe", "op9_dart_minhash", "op11_periodic_runs", "op13_piece_bpe"):
         rows = queries.QUERIES[name](spark, SF).select("doc_id").collect()
         assert len(rows) == len(documents) and {r["doc_id"] for r in rows} == documents
 
