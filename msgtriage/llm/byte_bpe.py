@@ -19,13 +19,17 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-MEMO_ENTRIES = 200_000
+from msgtriage.llm.runs import slices
+
+MEMO_ENTRIES = 120_000
+#: Characters of text, or bytes of ids, whose results are handed over together, about.
+SLICE = 1 << 22
 MEMO_LENGTH = 64
 
 
@@ -110,10 +114,12 @@ class Codec:
 def encoder(codec: Codec):
     """A column function: text to its ids (binary, four little-endian bytes each)."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([codec.encode(t or "") for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            for part in slices(texts, SLICE):
+                yield pa.array([codec.encode(t) for t in texts[part]], pa.binary())
 
     def apply(text: Column) -> Column:
         return encode(text)
@@ -124,10 +130,12 @@ def encoder(codec: Codec):
 def decoder(codec: Codec):
     """A column function: ids to the bytes of the text."""
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series([codec.decode(i or b"") for i in ids], dtype=object)
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ids = [i or b"" for i in batch.to_pylist()]
+            for part in slices(ids, SLICE):
+                yield pa.array([codec.decode(i) for i in ids[part]], pa.binary())
 
     def apply(ids: Column) -> Column:
         return decode(ids)

@@ -6,9 +6,14 @@ query's window lies around its own projection. Virtual rehashing widens the
 windows of all functions by one factor per round, without hashing again. A vector
 collides where it lies in the window; one that collides in at least
 ``THRESHOLD`` of the functions is a candidate and is verified: its cosine with
-the query is computed in double precision from the original vectors. A query is
-done with a block once it has verified the share ``VERIFIED`` of it, and
-``ENOUGH`` vectors at least, or all; windows widen until then.
+the query is computed in double precision from the original vectors.
+
+A vector at distance d of the query lies in a window of half width w with the
+probability that a standard normal number is within w / d, so the number of its
+collisions is binomial. A query is done with a block when one as near as the k-th
+that it has verified would have collided ``THRESHOLD`` times with probability
+``CAUGHT``, or when it has verified all; windows widen until then. What is looked at
+follows from the distances, not from the size of a block.
 
 Vectors are scaled to length one before they are projected, so that Euclidean
 nearness is that of the cosine.
@@ -27,6 +32,8 @@ cosines go by the smaller id. Rows that repeat an id are candidates each.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import ceil, comb, erf, sqrt
 
 import numpy as np
 import pandas as pd
@@ -36,10 +43,9 @@ BLOCK = 8_192
 QUERIES = 2_048
 FUNCTIONS = 64
 THRESHOLD = 0.6
-VERIFIED = 0.2
-ENOUGH = 100
-FIRST_HALF = 0.9
-WIDEN = 1.15
+CAUGHT = 0.95
+FIRST_HALF = 0.3
+WIDEN = 1.1
 SEED = 5
 
 FOUND = "query_id long, vec_id long, score double"
@@ -51,12 +57,28 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=None)
+def _width() -> float:
+    """The half width, in distances, at which a vector collides often enough with probability ``CAUGHT``."""
+    wanted = ceil(THRESHOLD * FUNCTIONS)
+
+    def caught(width: float) -> float:
+        p = erf(width / sqrt(2))
+        return sum(comb(FUNCTIONS, i) * p ** i * (1 - p) ** (FUNCTIONS - i) for i in range(wanted, FUNCTIONS + 1))
+
+    low, high = 0.0, 8.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if caught(middle) >= CAUGHT else (middle, high)
+    return high
+
+
 class Block:
     """The vectors of one block, their projections in order, and the search of it."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+        self.ids, self.vectors = ids[order], _scaled(np.ascontiguousarray(vectors[order]))
         self.norms = _norms(self.vectors)
         rng = np.random.default_rng(SEED)
         self.directions = rng.standard_normal((vectors.shape[1], FUNCTIONS))
@@ -73,6 +95,7 @@ class Block:
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The best k found in the block: positions and cosines."""
+        query = _scaled(query[None])[0]
         norm = _norms(query[None])
         centre = self._project(query[None], norm)[0]
         n = len(self.ids)
@@ -81,13 +104,18 @@ class Block:
         verified[self.ids == query_id] = True
         own = int(verified.sum())
         scores = np.full(n, -np.inf)
-        enough = min(n - own, max(k, ENOUGH, int(np.ceil(VERIFIED * n))))
+        others, reach = n - own, _width()
         # Windows as [low, high) in every sorted array; they start empty, at the query's own place.
         low = np.array([np.searchsorted(line, c) for line, c in zip(self.sorted, centre)])
         high = low.copy()
         hits = np.zeros(n, np.int64)
         half, done = FIRST_HALF, 0
-        while done < enough:
+        while done < others:
+            if done >= k:
+                nearest = np.partition(scores, n - k)[n - k]
+                # The windows read last were this wide.
+                if half / WIDEN >= reach * sqrt(max(0.0, 2 - 2 * nearest)):
+                    break
             gained = []
             for j, line in enumerate(self.sorted):
                 a, b = np.searchsorted(line, (centre[j] - half, centre[j] + half))
@@ -109,6 +137,11 @@ class Block:
         return best, scores[best]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that squares neither vanish nor overflow; a cosine stays what it is, to the bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _norms(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors * vectors).sum(axis=1))
 

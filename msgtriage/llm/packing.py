@@ -39,7 +39,9 @@ OPEN_WINDOWS = 32
 FAN_IN = 256
 END_ID = 2
 WIDTH = 4
-MEMO_ENTRIES = 900_000
+#: Bytes of memo in a worker process, about, in each of two generations; what an entry takes besides its chunk and ids.
+MEMO_BYTES = 32 << 20
+ENTRY_BYTES = 180
 MEMO_LENGTH = 64
 #: Characters of text that are encoded together, about.
 SLICE = 1 << 21
@@ -99,7 +101,10 @@ class _Encoder:
         self.raw = [i.to_bytes(WIDTH, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.space = regex.compile(Tokens.SPACE)
         self.word = regex.compile(Tokens.WORD).findall
+        #: What chunks met lately give, and what those before them gave: one that is met again moves up.
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         plain, other = set(), set()
@@ -114,15 +119,18 @@ class _Encoder:
             else:
                 split.append([c for c in self.space.split(text) if c])
                 other.update(split[-1])
-        known = self.chunks.keys()
-        new = (plain - known, other - plain - known)
-        self._learn(*new)
+        new = (plain | other) - self.chunks.keys()
+        again = new & self.older.keys()
+        self.chunks.update((c, self.older[c]) for c in again)
+        new -= again
+        self._learn(new & plain, new - plain)
         ids = self.chunks.__getitem__
         out = [b"".join(map(ids, chunks)) for chunks in split]
-        for chunk in (c for chunks in new for c in chunks if len(c) > MEMO_LENGTH):
+        for chunk in [c for c in new if len(c) > MEMO_LENGTH]:
             del self.chunks[chunk]
-        if len(self.chunks) > MEMO_ENTRIES:
-            self.chunks.clear()
+        self.held += sum(len(c) + ENTRY_BYTES for c in new) + ENTRY_BYTES * len(again)
+        if self.held > MEMO_BYTES:
+            self.chunks, self.older, self.held = {}, self.chunks, 0
         return out
 
     def _is_plain(self, text: str) -> bool:
@@ -137,7 +145,7 @@ class _Encoder:
                 known[chunk] = self._word(chunk)
         for chunk in plain:
             if not chunk.isalpha():
-                known[chunk] = b"".join([known.get(w) or self._word(w) for w in self.word(chunk)])
+                known[chunk] = b"".join([known.get(w) or self.older.get(w) or self._word(w) for w in self.word(chunk)])
         known.update(zip(other, self._texts(list(other))))
 
     def _texts(self, texts: list[str]) -> list[bytes]:

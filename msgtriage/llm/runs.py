@@ -16,6 +16,9 @@ import numpy as np
 #: Bytes of text that are laid end to end, about; a longer text comes alone.
 SLICE_BYTES = 1 << 18
 
+#: Bytes that the kept table of powers serves; few slices are longer.
+TABLE_BYTES = 1 << 20
+
 SPACE, WORD, PUNCTUATION = 0, 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -41,7 +44,12 @@ _KINDS = _kinds()
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """One for each worker process, 16 MB."""
+    return _powers(TABLE_BYTES)
+
+
 def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     up, down = np.full(count, _BASE), np.full(count, np.uint64(pow(int(_BASE), -1, 1 << 64)))
@@ -66,8 +74,7 @@ def hashed_runs(texts: list[str], punctuation: bool) -> tuple[np.ndarray, np.nda
     first = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
     kinds = _KINDS[data]
     starts = np.flatnonzero(np.diff(kinds, prepend=np.uint8(255)))
-    # A size for the tables that few slices exceed, so that they are made once.
-    up, down = _powers(1 << max(21, len(data).bit_length()))
+    up, down = _table() if len(data) <= TABLE_BYTES else _powers(len(data))
     sums = np.add.reduceat(_VALUES[data] * up[:len(data)], starts)
     codes = mix(sums * down[starts] + np.diff(starts, append=len(data)).astype(np.uint64))
     kept = kinds[starts] != SPACE if punctuation else kinds[starts] == WORD

@@ -79,3 +79,29 @@ def test_empty(spark):
     assert search(spark, []) == []
     assert search(spark, [(0, [1.0])]) == []
     assert search(spark, [(1, [1.0]), (2, [2.0])]) == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_table(spark, sf):
+    from pathlib import Path
+
+    from msgtriage.llm import queries
+
+    folder = Path("/root/testdata") / sf
+    if not folder.is_dir():
+        pytest.skip("test tables are not here")
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    assert recall(queries.op5_collision_search(spark, str(folder)).collect(), brute_force(rows, lambda i: i % 50 == 0)) >= 0.9
+
+
+def test_sizes_of_vectors_do_not_matter(spark):
+    rng = np.random.default_rng(7)
+    points = rng.standard_normal((60, 8))
+    sizes = [1e-200, 1.0, 1e200] * 20
+    doubles = "vec_id long, embedding array<double>"
+    plain, scaled = (
+        C.nearest(spark.createDataFrame([(i, (p * s).tolist()) for i, (p, s) in enumerate(zip(points, many))], doubles),
+                  F.col("vec_id") % 50 == 0).collect() for many in ([1.0] * 60, sizes))
+    key = lambda r: (r["query_id"], r["rank"])
+    for a, b in zip(sorted(plain, key=key), sorted(scaled, key=key), strict=True):
+        assert a["vec_id"] == b["vec_id"] and a["score"] == pytest.approx(b["score"], abs=1e-12)
