@@ -121,10 +121,10 @@ def grams_sql(source: str, key: str, text: str, pattern: str, high: int, stop: s
 {name}_tf AS (SELECT {key}, term, count(*) AS tf FROM {name}_terms GROUP BY ALL)"""
 
 
-def vocabulary_sql(name: str, source: str, size: int) -> str:
+def vocabulary_sql(name: str, source: str, size: int | None = None) -> str:
+    cut = f"ORDER BY cf DESC, term LIMIT {size}" if size else ""
     return f"""voc AS (
-  SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM {name}_tf GROUP BY term
-  ORDER BY cf DESC, term LIMIT {size}),
+  SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM {name}_tf GROUP BY term {cut}),
 idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM voc, (SELECT count(*) AS n FROM {source}))"""
 
 
@@ -135,7 +135,7 @@ def weights_sql(name: str, key: str, sublinear: bool) -> str:
 
 
 INDEX = f"""{CORPUS}, {grams_sql('corpus', 'inquiry_id', 'customer_text', LONG, 2, STOP, 'd')},
-{vocabulary_sql('d', 'corpus', 25000)}, {weights_sql('d', 'inquiry_id', True)}"""
+{vocabulary_sql('d', 'corpus')}, {weights_sql('d', 'inquiry_id', True)}"""
 
 
 def scores_sql(source: str, text: str = "customer_text") -> str:
@@ -183,13 +183,17 @@ DAMPED = f"""CASE WHEN intent = 'de' AND NOT {has('lower(customer_text)', ' und
   THEN confidence * 0.75 ELSE confidence END"""
 
 
-def decided_sql(source: str) -> str:
+#: What stands in for a model that was not fitted.
+FALLBACK = "lin_best AS (SELECT id, 'en' AS intent, 0.5::DOUBLE AS confidence FROM docs)"
+
+
+def decided_sql(source: str, labels: str | None = None) -> str:
     low = "lower(customer_text)"
     hazard = has_word(low, "idiot", "moron", "scum")
     threat = has_word(low, "trash", "worthless", "loser", "clown")
     dispute = f"intent = 'fr' AND {has(low, 'eaux', 'ieraux')}"
     store = f"{has(low, 'license')} AND {has(low, ' with ', ' that ', ' mit ', ' les ')}"
-    return f"""{linear_sql(source)},
+    return f"""{labels or linear_sql(source)},
 classified AS (
   SELECT id, customer_text,
          CASE WHEN {IS_FRAGMENT} THEN 'fragment' WHEN {IS_OUT} THEN 'out_of_scope' ELSE intent END AS intent,
@@ -583,7 +587,7 @@ SELECT CASE WHEN inbound THEN 'customer' ELSE 'agent' END AS side, count(text) A
 SELECT id, count(*) AS n_cases, max(score) AS top_score, round(sum(score), 6) AS total_score FROM scores GROUP BY id""",
     "topk_retrieval": f"""WITH {TURNS}, corpus AS (SELECT doc_id AS inquiry_id, text AS customer_text FROM documents),
 {grams_sql('corpus', 'inquiry_id', 'customer_text', LONG, 2, STOP, 'd')},
-{vocabulary_sql('d', 'corpus', 25000)}, {weights_sql('d', 'inquiry_id', True)}, {scores_sql('turns')}
+{vocabulary_sql('d', 'corpus')}, {weights_sql('d', 'inquiry_id', True)}, {scores_sql('turns')}
 SELECT id, doc_id, score, rank FROM ranked WHERE rank <= 3""",
     "nearest_1": f"""WITH {INDEX}, {DOCS}, {scores_sql('docs')}
 SELECT docs.id, coalesce(round(r.score, 4), 0) AS retrieval_score, (r.id IS NOT NULL)::INT AS n_cases,
@@ -597,6 +601,8 @@ FROM docs LEFT JOIN ranked r ON r.id = docs.id AND r.rank = 1 LEFT JOIN corpus c
                     "round(probability, 6) AS probability FROM lin_probs",
     "confidence_damping": f"WITH {DOCS}, {linear_sql('docs')} SELECT id, intent, round({DAMPED}, 6) AS confidence "
                           "FROM docs JOIN lin_best USING (id)",
+    "fallback_decision": f"WITH {DOCS}, {decided_sql('docs', FALLBACK)} "
+                         "SELECT id, intent, confidence, should_escalate, reason, risk_level, trigger_rule FROM decided",
     "heuristic_override": f"{DECIDED} SELECT id, intent, confidence FROM classified",
     "trivial_triage": f"""SELECT doc_id AS id, 'en' AS intent, 1.0::DOUBLE AS confidence, false AS should_escalate,
        'never' AS reason, 'LOW' AS risk_level, 'TRIVIAL_DEFAULT' AS trigger_rule,

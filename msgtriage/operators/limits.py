@@ -10,14 +10,40 @@ from pyspark.sql import DataFrame, Window, functions as F
 from msgtriage.session import materialize
 
 
+#: So many keys may be sorted to find a cut among them.
+FEW_KEYS = 50_000
+
+
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
     """The rows with the ``n`` lowest values of the unique ``key``.
 
-    Only the keys are sorted, to find the cut; the rows themselves pass a
-    filter where they are and never meet in one task.
+    The rows are stored once, so that what makes them runs once, and pass a filter
+    where they are. The cut is found by counting the keys of ranges: of the range
+    that holds the ``n``-th key the keys are dealt to ranges again, until few are
+    left. No task ever holds ``n`` keys, however large ``n`` is.
     """
-    cut = df.select(key).orderBy(key).limit(n).agg(F.max(key).alias("cut"))
-    return df.where(F.col(key) <= cut.scalar())
+    stored = materialize(df, "ordered")
+    if n < 1:
+        return stored.where("false")
+    keys, room = stored.select(key).where(F.col(key).isNotNull()), n
+    size = keys.count()
+    while size > max(FEW_KEYS, 1) and room < size:
+        ranges = materialize(keys.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "key-ranges")
+        # One row per task.
+        counts = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+        before = 0
+        for number, held in counts:
+            if before + held >= room:
+                break
+            before += held
+        if held == size:    # one range took all: the keys are not unique
+            break
+        keys, room, size = ranges.where(F.col("_range") == number).select(key), room - before, held
+    if room >= size:
+        cut = keys.agg(F.max(key)).first()[0]
+    else:
+        cut = keys.orderBy(key).limit(room).agg(F.max(key)).first()[0]
+    return stored.where(F.col(key) <= F.lit(cut))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

@@ -1,202 +1,302 @@
-"""Case search by TF-IDF cosine.
-
-Cosine needs every term that a message and a case share, and common terms are
-shared by nearly all of them. Joining on the term would send a third of all rows
-to one task. So one side stays where its rows are, partitioned by row id, and the
-other, of checked size, is broadcast: all products of a row are formed and summed
-in the task that holds the row, and only the best ``k`` leave it.
+"""Case search by TF-IDF cosine over a stored inverted index.
+
+**Index.** Postings lie in a table that is bucketed and sorted by term and block. A
+block holds the cases of one norm class in which the term has about the same count,
+so their weights differ little, and the table of terms says of each block how many
+postings it has and the largest weight. A term that very many cases have is dealt to
+further parts by a hash of the case, so no key of the table is hot. Counts of terms
+are kept as they were read: more cases are counted and appended, and weights and
+norms, which every new case changes through the document frequencies, follow from the
+counts without reading a text again.
+
+**Search.** All pairs that share a term are nearly all pairs. So a few cases are
+scored first, from the blocks where a message can gain most, and the ``k``-th of them
+bounds the result from below. What a case can reach is bounded from above by the
+largest weights of the blocks: blocks are read in the order of what they can add
+until what is left to add is small (``REST`` of the lower bound), for every norm class
+by itself; classes that cannot reach the bound are not read at all. Only cases whose
+sum so far and the rest together reach it are scored from all their terms. Bounds only
+decide what is not read, so the result is exact.
+
+The index side of each join is read where it lies, without an exchange; what moves are
+the terms of the messages, and sums by message and case.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from math import ceil
+from math import log
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from msgtriage.operators.pairs import PAIR_COLUMNS
-from msgtriage.operators.tfidf import TfidfConfig, TfidfModel, explode_vectors
-from msgtriage.session import work_dir
+from msgtriage.operators.tfidf import TfidfConfig, counts_by_row, idf_of, load_config, most_frequent, save_config
+from msgtriage.session import materialize, work_dir
+
+SCORE_DIGITS = 6      # ranking precision; ties go to the lower case id
+REPORTED_DIGITS = 4   # fixed value: precision of reported scores
+CLASS_BASE = 1.5      # norms of one class differ by this factor at most
+LEVEL_STEP = 0.35     # damped counts of one block differ by this at most
+TOP_LEVEL = 15
+PART = 100_000        # postings of a term and part, about
+FIRST = 300           # postings of a message that are read for its lower bound, about
+SCORED_FIRST = 4      # times k cases are scored for it
+REST = 0.4
+#: Sums in another order differ by less; scores are rounded to SCORE_DIGITS.
+MARGIN = 2e-6
+POSTINGS_PER_BUCKET = 2_000_000
+BLOCK = ("term", "norm_class", "level", "part")
+CELL = ("doc_id", "term")
+
+
+def _buckets(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // POSTINGS_PER_BUCKET))
+
+
+def _bucketed(df: DataFrame, path: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """Write a table bucketed and sorted by ``keys`` and read it as such."""
+    name = f"index_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
 
-SCORE_DIGITS = 6                    # ranking precision; ties go to the lower case id
-REPORTED_DIGITS = 4                 # fixed value: precision of reported scores
-MAX_BROADCAST_POSTINGS = 2_000_000  # about 100 MB as a hashed relation
-MAX_BROADCAST_CHARACTERS = 200_000_000
-POSTINGS_PER_TASK = 500_000
-MAX_TASKS = 20_000
+
+def _registered(spark: SparkSession, path: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """A bucketed table of an earlier session."""
+    name, listed = f"index_{uuid.uuid4().hex}", ", ".join(keys)
+    columns = spark.read.parquet(path).schema.toDDL()
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({listed}) SORTED BY ({listed}) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
 @dataclass
 class CaseIndex:
-    """Weight vectors of the cases, with their texts, ready for many searches."""
+    """Term counts, weights and texts of the cases, ready for many searches."""
 
-    model: TfidfModel
-    cases: DataFrame      # doc_id, historical_query, historical_resolution, tfidf
-    postings: int         # an upper bound on the entries of all vectors
-    characters: int       # length of all texts together
+    path: str
+    config: TfidfConfig
+    version: int
+    n_docs: int
+    texts: DataFrame      # doc_id, historical_query, historical_resolution
+    terms: DataFrame      # term, idf, parts, blocks; bucketed by term
+    postings: DataFrame   # term, norm_class, level, part, doc_id, weight; bucketed by BLOCK
+    weights: DataFrame    # doc_id, term, weight; bucketed by CELL
 
     @staticmethod
     def build(
         corpus: DataFrame, config: TfidfConfig, key: str = PAIR_COLUMNS[0],
         text: str = "customer_text", resolution: str = "agent_text", path: str | None = None,
     ) -> "CaseIndex":
-        """Fit on the corpus and weight it; with ``path`` the index is written and read back."""
-        usable = corpus.where(F.col(text).isNotNull() & F.col(resolution).isNotNull()).select(
-            F.col(key).alias("doc_id"), F.col(text).alias("historical_query"),
-            F.col(resolution).alias("historical_resolution"),
-        )
+        """Count the terms of the corpus and weight them; the index lies in ``path``, or in the work folder."""
         spark = corpus.sparkSession
-        if path is not None:
-            # The corpus is read three times below; the plan that makes it runs once.
-            usable.write.mode("overwrite").parquet(f"{path}/corpus")
-            usable = spark.read.parquet(f"{path}/corpus")
-        model = TfidfModel.fit(usable, "historical_query", config)
-        cases = model.transform(usable, "historical_query")
-        if path is None:
-            bound = postings_bound(usable, "historical_query", config)
-            return CaseIndex(model, cases, bound, _text_size(usable))
-        cases.write.mode("overwrite").parquet(f"{path}/cases")
-        model.save(spark, f"{path}/model")
-        return CaseIndex._stored(spark, path, model)
+        path = path or f"{work_dir(spark)}/index-{uuid.uuid4().hex}"
+        save_config(spark, config, f"{path}/settings")
+        _count(corpus, config, key, text, resolution, path, "overwrite")
+        return _weigh(spark, path, config, 0)
+
+    def extend(
+        self, more: DataFrame, key: str = PAIR_COLUMNS[0], text: str = "customer_text",
+        resolution: str = "agent_text",
+    ) -> "CaseIndex":
+        """The index with further cases, whose keys must be new.
 
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> "CaseIndex":
-        return CaseIndex._stored(spark, path, TfidfModel.load(spark, f"{path}/model"))
+        Only their texts are read; the result equals one build over all cases.
+        """
+        spark = more.sparkSession
+        _count(more, self.config, key, text, resolution, self.path, "append")
+        return _weigh(spark, self.path, self.config, self.version + 1)
 
     @staticmethod
-    def _stored(spark: SparkSession, path: str, model: TfidfModel) -> "CaseIndex":
-        cases = spark.read.parquet(f"{path}/cases")
-        size = cases.agg(F.sum(F.size("tfidf.indices"))).first()[0] or 0
-        return CaseIndex(model, cases, size, _text_size(cases))
-
-
-def _text_size(cases: DataFrame) -> int:
-    length = F.char_length("historical_query") + F.char_length("historical_resolution")
-    return int(cases.agg(F.sum(length)).first()[0] or 0)
-
-
-def postings_bound(df: DataFrame, text: str, config: TfidfConfig) -> int:
-    """An upper bound on the postings of a table, from text lengths alone.
+    def load(spark: SparkSession, path: str) -> "CaseIndex":
+        v = spark.read.json(f"{path}/versions").orderBy(F.desc("version")).first()
+        at = f"{path}/version-{v['version']}"
+        return CaseIndex(
+            path, load_config(spark, f"{path}/settings"), v["version"], v["n_docs"],
+            spark.read.parquet(f"{path}/texts"), _registered(spark, f"{at}/terms", ("term",), v["buckets"]),
+            _registered(spark, f"{at}/postings", BLOCK, v["buckets"]),
+            _registered(spark, f"{at}/weights", CELL, v["buckets"]))
+
+
+def _count(corpus: DataFrame, config: TfidfConfig, key: str, text: str, resolution: str, path: str, mode: str) -> None:
+    """Store texts and term counts of cases; those without a text or a resolution are none."""
+    usable = corpus.where(F.col(text).isNotNull() & F.col(resolution).isNotNull()).select(
+        F.col(key).alias("doc_id"), F.col(text).alias("historical_query"),
+        F.col(resolution).alias("historical_resolution"))
+    segment = materialize(usable, "cases")
+    segment.write.mode(mode).parquet(f"{path}/texts")
+    counts = counts_by_row(segment, "doc_id", "historical_query", config)
+    counts.write.mode(mode).parquet(f"{path}/counts")
+
+
+def _weigh(spark: SparkSession, path: str, config: TfidfConfig, version: int) -> CaseIndex:
+    """Weights, blocks and vectors from the counts, as a version of the index."""
+    texts, counts = spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/counts")
+    at = f"{path}/version-{version}"
+    n_docs = texts.count()
+    buckets = _buckets(spark, counts.count())
+    stats = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    if config.max_features is not None:
+        stats = most_frequent(stats, config.max_features)
+    known = materialize(stats.select(
+        "term", idf_of(F.col("df"), F.lit(float(n_docs))).alias("idf"),
+        F.ceil(F.col("df") / F.lit(float(PART))).cast("int").alias("parts")), "terms")
+    # A case's terms meet in one row, which its text bounds.
+    damped = 1.0 + F.log("tf") if config.sublinear else F.col("tf").cast("double")
+    entry = F.struct("term", damped.alias("damped"), "idf", "parts")
+    rows = counts.join(known, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + F.pow(e["damped"] * e["idf"], F.lit(2.0))))
+    rows = materialize(rows.withColumn("norm", norm), "weighted")
+
+    flat = rows.select("doc_id", "norm", F.inline("entries"))
+    weight = F.col("damped") * F.col("idf") / F.col("norm")
+    level = F.least(F.floor((F.col("damped") - 1.0) / LEVEL_STEP), F.lit(TOP_LEVEL))
+    postings = _bucketed(flat.select(
+        "term", F.floor(F.log("norm") / log(CLASS_BASE)).cast("int").alias("norm_class"), level.cast("int").alias("level"),
+        F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id",
+        weight.alias("weight")), f"{at}/postings", BLOCK, buckets)
+
+    # What is unread of a term may be in any of its lower levels, so a block's bound is the largest of theirs.
+    lower = Window.partitionBy("term", "norm_class").orderBy("level")
+    sizes = postings.groupBy("term", "norm_class", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.max("weight").alias("top"))
+    blocks = sizes.withColumn("top", F.max("top").over(lower)).withColumn(
+        "step", F.col("top") - F.coalesce(F.lag("top").over(lower), F.lit(0.0)))
+    listed = blocks.groupBy("term").agg(
+        F.collect_list(F.struct("norm_class", "level", "n", "top", "step")).alias("blocks"))
+    terms = _bucketed(known.join(listed, "term"), f"{at}/terms", ("term",), buckets)
+
+    weights = _bucketed(flat.select("doc_id", "term", weight.alias("weight")), f"{at}/weights", CELL, buckets)
+    spark.createDataFrame([(version, n_docs, buckets)], "version int, n_docs long, buckets int").coalesce(
+        1).write.mode("append" if version else "overwrite").json(f"{path}/versions")
+    return CaseIndex(path, config, version, n_docs, texts, terms, postings, weights)
+
+
+# --- search -----------------------------------------------------------------
 
-    A token has two characters at least and one between it and the next, so a
-    text of c characters has at most (c + 1) / 3 tokens, and as many n-grams of
-    each size.
-    """
-    tokens = F.floor((F.char_length(F.col(text)) + 1) / 3)
-    total = df.agg(F.sum(tokens * (config.high - config.low + 1))).first()[0]
-    return int(total or 0)
+@dataclass
+class _Asked:
+    """The messages as the search sees them, stored: their weights, and what the index knows of their terms."""
 
+    weights: DataFrame   # _q, term, asked
+    known: DataFrame     # term, idf, parts, blocks
+    index: CaseIndex
 
-def _best(scored: DataFrame, query: str, k: int) -> DataFrame:
-    """Rank on the rounded score, then the case id; pruned in each partition first."""
-    order = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("doc_id"))
+    @staticmethod
+    def of(queries: DataFrame, index: CaseIndex, key: str, text: str) -> "_Asked":
+        kind = queries.schema[key].dataType
+        no_id = F.raise_error(F.lit(f"a row has no {key}")).cast(kind)
+        rows = queries.select(F.coalesce(F.col(key), no_id).alias("_q"), F.col(text).alias("_text"))
+        counts = materialize(counts_by_row(rows, "_q", "_text", index.config), "asked-terms")
+        known = materialize(index.terms.join(counts.select("term").distinct(), "term"), "known-terms")
+        damped = 1.0 + F.log("tf") if index.config.sublinear else F.col("tf").cast("double")
+        raw = counts.join(known.select("term", "idf"), "term").select("_q", "term", (damped * F.col("idf")).alias("raw"))
+        norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("_q")))
+        return _Asked(materialize(raw.select("_q", "term", (F.col("raw") / norm).alias("asked")), "asked"), known, index)
+
+    def blocks(self) -> DataFrame:
+        """The blocks that a message's terms have: what each can add (``gain``) and what reading it settles (``step``)."""
+        listed = self.weights.join(self.known.select("term", "parts", "blocks"), "term").select(
+            "_q", "term", "asked", "parts", F.inline("blocks"))
+        return listed.withColumn("gain", F.col("asked") * F.col("top")).withColumn(
+            "step", F.col("asked") * F.col("step")).drop("top")
+
+    def read(self, blocks: DataFrame, *kept: str) -> DataFrame:
+        """Sums of products of the blocks by message and case; ``kept`` are equal for all blocks of a message and class."""
+        found = blocks.join(self.index.postings, list(BLOCK))
+        return found.groupBy("_q", "doc_id").agg(
+            F.sum(F.col("asked") * F.col("weight")).alias("sum"), *[F.first(c).alias(c) for c in kept])
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """``_q, doc_id, score`` from all terms of the message; pairs that share none have no row."""
+        cells = pairs.select("_q", "doc_id").join(self.weights, "_q").join(self.index.weights, list(CELL))
+        return cells.groupBy("_q", "doc_id").agg(
+            F.round(F.sum(F.col("asked") * F.col("weight")), SCORE_DIGITS).alias("score"))
+
+
+def _every_part(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def _best(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
+    """Rank on the score, then the case id; pruned in each partition first."""
+    order = Window.partitionBy("_q").orderBy(F.desc(score), F.asc("doc_id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _tasks(spark: SparkSession, size: int) -> int:
-    """Tasks by the amount of work; a huge table gets larger tasks, which spill, not ever more of them."""
-    wanted = min(ceil(size / POSTINGS_PER_TASK), MAX_TASKS)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+def _lower_bounds(asked: _Asked, k: int) -> DataFrame:
+    """``_q, bound``: the ``k``-th score among a few cases that are likely to be near."""
+    by_gain = Window.partitionBy("_q").orderBy(F.desc("gain"), "term", "norm_class", "level")
+    before = F.sum("n").over(by_gain.rowsBetween(Window.unboundedPreceding, -1))
+    few = asked.blocks().withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < FIRST)
+    # One part of a term's cases will do; another one for each message.
+    part = F.pmod(F.xxhash64("_q"), F.col("parts")).cast("int")
+    likely = _best(asked.read(few.withColumn("part", part)), SCORED_FIRST * k, "sum")
+    scores = asked.exact(likely).groupBy("_q").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    return scores.select("_q", F.get("s", F.lit(k - 1)).alias("bound"))
 
 
-def place(df: DataFrame, key: str, text: str, config: TfidfConfig) -> tuple[DataFrame, int]:
-    """Rows partitioned by their id, into tasks of bounded work, and the bound on their postings.
+def _needed(asked: _Asked, bounds: DataFrame) -> DataFrame:
+    """The blocks to read, each with the bound and the most that the other blocks of its class can add (``rest``)."""
+    bound = F.greatest(F.coalesce("bound", F.lit(0.0)) - MARGIN, F.lit(0.0))
+    every = asked.blocks().join(bounds, "_q", "left").withColumn("bound", bound)
+    whole = Window.partitionBy("_q", "norm_class")
+    # Of a term, higher levels come first.
+    in_turn = whole.orderBy(F.desc("gain"), F.desc("level"), "term")
+    every = every.withColumn("all", F.sum("step").over(whole)).withColumn(
+        "done", F.coalesce(F.sum("step").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    reaches = (F.col("all") >= F.col("bound")) & (F.col("all") - F.col("done") >= REST * F.col("bound"))
+    read = (F.col("bound") == 0) | reaches
+    every = every.withColumn("read", read)
+    rest = F.col("all") - F.sum(F.when(F.col("read"), F.col("step")).otherwise(0.0)).over(whole)
+    return every.withColumn("rest", rest).where("read")
 
-    Everything the search does with a row then happens in its own task: the text
-    is the smallest form of the row, so it is what moves, once: the search and the
-    join of its results read the same exchange. A row without an id is an error,
-    and saying so here also keeps a null test of one reader from splitting the two.
-    """
-    size = postings_bound(df, text, config)
-    kind = df.schema[key].dataType
-    no_id = F.raise_error(F.lit(f"a row has no {key}")).cast(kind)
-    sure = df.withColumn(key, F.coalesce(F.col(key), no_id, F.lit("0").cast(kind)))
-    return sure.repartition(_tasks(df.sparkSession, size), key), size
 
+def candidates(queries: DataFrame, index: CaseIndex, k: int, key: str = "id", text: str = "customer_text") -> DataFrame:
+    """``(key, doc_id)`` of the pairs that the search scores from all terms: what its bounds leave."""
+    return _candidates(_Asked.of(queries, index, key, text), k).withColumnRenamed("_q", key)
 
-def scores(large: DataFrame, large_key: str, small: DataFrame, small_key: str) -> DataFrame:
-    """C4: cosine of every pair that shares a term; ``small`` is broadcast, ``large`` stays put.
 
-    ``large`` must be partitioned by its row id: the sum per pair then needs no
-    exchange, whatever the frequency of a term.
-    """
-    left = explode_vectors(large, large_key)
-    right = F.broadcast(explode_vectors(small, small_key).withColumnRenamed("weight", "other"))
-    pairs = left.join(right, "term_id").groupBy(large_key, small_key)
-    return pairs.agg(F.round(F.sum(F.col("weight") * F.col("other")), SCORE_DIGITS).alias("score"))
+def _candidates(asked: _Asked, k: int) -> DataFrame:
+    sums = asked.read(_every_part(_needed(asked, _lower_bounds(asked, k))), "rest", "bound")
+    return sums.where(F.col("sum") + F.col("rest") >= F.col("bound")).select("_q", "doc_id")
 
 
-def _blocks(df: DataFrame, key: str, size: int, limit: int) -> list[DataFrame]:
-    """Hash blocks of ``df`` that each stay below the broadcast bound."""
-    n = max(1, ceil(1.25 * size / limit)) if size > limit else 1
-    if n == 1:
-        return [df]
-    block = F.pmod(F.xxhash64(key), F.lit(n))
-    return [df.where(block == b) for b in range(n)]
+def scores(queries: DataFrame, index: CaseIndex, key: str = "id", text: str = "customer_text") -> DataFrame:
+    """C4: ``(key, doc_id, score)`` of every pair that shares a term, by joining on the blocks of the terms."""
+    asked = _Asked.of(queries, index, key, text)
+    return asked.read(_every_part(asked.blocks())).select(
+        F.col("_q").alias(key), "doc_id", F.round("sum", SCORE_DIGITS).alias("score"))
 
 
 def rank_cases(
     queries: DataFrame, index: CaseIndex, k: int, key: str = "id", text: str = "customer_text",
-    max_broadcast: int = MAX_BROADCAST_POSTINGS, size: int | None = None,
 ) -> DataFrame:
     """``(key, doc_id, score, rank)`` of the ``k`` closest cases per message; exact.
 
-    The smaller side is broadcast. If even that is above the bound it is cut into
-    hash blocks, searched one after another; each block's best ``k`` are written
-    to the shared folder and merged, so nothing is dropped. Give ``size`` if the
-    queries come from ``place``.
+    Keys are unique and not null. A message without a term of the index has no row.
     """
-    if size is None:
-        queries, size = place(queries.select(key, text), key, text, index.model.config)
-    # The key of the messages must not collide with that of the cases.
-    q = queries.select(F.col(key).alias("_q"), F.col(text).alias("_text"))
-    q_vectors = index.model.transform(q, "_text").select("_q", "tfidf")
-    cases = index.cases.select("doc_id", "tfidf")
-    if index.postings <= size:
-        blocks = _blocks(cases, "doc_id", index.postings, max_broadcast)
-        parts = [_best(scores(q_vectors, "_q", b, "doc_id"), "_q", k) for b in blocks]
-    else:
-        tasks = _tasks(queries.sparkSession, index.postings)
-        placed = cases.repartition(tasks, "doc_id")
-        blocks = _blocks(q_vectors, "_q", size, max_broadcast)
-        parts = [_best(scores(placed, "doc_id", b, "_q"), "_q", k) for b in blocks]
-    if len(parts) == 1:
-        best = parts[0]
-    else:
-        spark = queries.sparkSession
-        folder = f"{work_dir(spark)}/search-{uuid.uuid4().hex}"
-        for part in parts:
-            part.write.mode("append").parquet(folder)
-        best = _best(spark.read.parquet(folder).drop("rank"), "_q", k)
-    return best.withColumnRenamed("_q", key)
+    asked = _Asked.of(queries, index, key, text)
+    best = _best(asked.exact(_candidates(asked, k)).where("score > 0"), k)
+    return best.select(F.col("_q").alias(key), "doc_id", "score", "rank")
 
 
 def retrieve(
     queries: DataFrame, index: CaseIndex, k: int, key: str = "id", text: str = "customer_text",
-    max_broadcast: int = MAX_BROADCAST_POSTINGS, size: int | None = None,
 ) -> DataFrame:
     """Each message with its list of cases, best first, and its top score.
 
-    A message that shares no term with any case keeps an empty list and score 0.
-    With ``size`` the queries are taken as placed: the lists then come back to
-    rows that are already in the right task.
+    A message that shares no term with any case keeps an empty list and score 0. A case
+    that is the best one of very many messages is a hot key of the join with the texts,
+    which adaptive execution splits: both sides are plain tables there.
     """
-    if size is None:
-        queries, size = place(queries, key, text, index.model.config)
-    best = rank_cases(queries, index, k, key, text, max_broadcast, size)
-    texts = index.cases.select("doc_id", "historical_query", "historical_resolution")
-    if index.characters <= MAX_BROADCAST_CHARACTERS:
-        # A case may be the best one of very many messages; broadcast, it skews nothing.
-        texts = F.broadcast(texts)
+    best = rank_cases(queries, index, k, key, text)
     case = F.struct(
         "rank", F.round("score", REPORTED_DIGITS).alias("similarity_score"), "doc_id",
         "historical_query", "historical_resolution",
     )
     # At most k cases per message reach this list.
-    lists = best.join(texts, "doc_id").groupBy(key).agg(
-        F.array_sort(F.collect_list(case)).alias("retrieved")
-    )
+    lists = best.join(index.texts, "doc_id").groupBy(key).agg(F.array_sort(F.collect_list(case)).alias("retrieved"))
     joined = queries.join(lists, key, "left")
     nothing = F.array().cast(lists.schema["retrieved"].dataType)
     found = joined.withColumn("retrieved", F.coalesce("retrieved", nothing))

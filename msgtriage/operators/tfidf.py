@@ -1,8 +1,11 @@
-"""TF-IDF vocabulary, weights and postings.
-
-A vocabulary has at most ``max_features`` terms, so it is the one thing that may
-travel to the driver. Documents never do: they are counted by one aggregation on
-terms with partial sums, and weighted row by row without any shuffle.
+"""TF-IDF vocabulary and weights.
+
+The vocabulary of a classifier has at most ``max_features`` terms, so it is the one
+thing that may travel to the driver. Documents never do: they are counted by one
+aggregation on terms with partial sums, and weighted row by row without any shuffle.
+Which terms are the most frequent is told from the number of terms of each count, so
+no task ever holds the vocabulary. The search has no bound on its terms and keeps
+them in tables (``retrieval``).
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ from pyspark.ml.feature import (
     CountVectorizer, CountVectorizerModel, ElementwiseProduct, StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from msgtriage.functions.text import (
     HYPHEN_WORD, LONG_WORD, explode_structs, let, ngrams, remove_stop_words, tokenize,
 )
+from msgtriage.operators.limits import first_n
+from msgtriage.session import materialize
 
 MAX_VOCABULARY = 100_000
 
@@ -27,14 +32,14 @@ MAX_VOCABULARY = 100_000
 class TfidfConfig:
     low: int = 1
     high: int = 1
-    max_features: int = 25_000
+    max_features: int | None = None
     sublinear: bool = False
     pattern: str = LONG_WORD
     stop_words: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        if not 0 < self.max_features <= MAX_VOCABULARY:
-            raise ValueError(f"max_features must be between 1 and {MAX_VOCABULARY}")
+        if self.max_features is not None and not 0 < self.max_features <= MAX_VOCABULARY:
+            raise ValueError(f"max_features must be between 1 and {MAX_VOCABULARY}, or none")
 
     def terms(self, text: Column) -> Column:
         tokens = remove_stop_words(tokenize(text, self.pattern), self.stop_words)
@@ -47,10 +52,10 @@ PRODUCTION_CLASSIFIER = TfidfConfig(1, 3, 12_000, sublinear=True, pattern=HYPHEN
 
 
 def retriever_config(stop_words: tuple[str, ...] | None = None) -> TfidfConfig:
-    """Settings of the case search; Spark's English list stands in for the stop words."""
+    """Settings of the case search, with every term; Spark's English list stands in for the stop words."""
     if stop_words is None:
         stop_words = tuple(StopWordsRemover.loadDefaultStopWords("english"))
-    return TfidfConfig(1, 2, 25_000, sublinear=True, stop_words=stop_words)
+    return TfidfConfig(1, 2, sublinear=True, stop_words=stop_words)
 
 
 def term_counts(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
@@ -80,10 +85,35 @@ def idf_of(df: Column, n_docs: Column) -> Column:
     return F.log((n_docs + 1.0) / (df + 1.0)) + 1.0
 
 
+def counts_by_row(df: DataFrame, key: str, text: str, config: TfidfConfig) -> DataFrame:
+    """``(key, term, tf)``, one row per term of a row; counted in the task that reads the row, then by key and term."""
+    listed = df.select(key, F.explode(config.terms(F.col(text))).alias("term"))
+    return listed.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``counts`` with the largest ``cf``; equal counts in term order.
+
+    The numbers of terms of each count, of which there are few, tell the last count that is
+    taken whole and how many terms of the next one are; only those are compared by name.
+    """
+    counts = materialize(counts, "term-counts")
+    down = Window.orderBy(F.desc("cf"))
+    sizes = counts.groupBy("cf").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(down))
+    cut = sizes.where(F.col("upto") >= n).orderBy(F.desc("cf")).limit(1).first()
+    if cut is None:
+        return counts
+    whole = counts.where(F.col("cf") > cut["cf"])
+    last = counts.where(F.col("cf") == cut["cf"])
+    return whole.unionByName(first_n(last, "term", n - (cut["upto"] - cut["n"])))
+
+
 def vocabulary(df: DataFrame, text: str, config: TfidfConfig) -> DataFrame:
-    """The most frequent terms; equal counts in term order; at most ``max_features`` rows."""
-    top = term_counts(df, text, config).orderBy(F.desc("cf"), F.asc("term"))
-    return top.limit(config.max_features)
+    """The most frequent terms in order; equal counts in term order; at most ``max_features`` rows, if it is given."""
+    counts = term_counts(df, text, config)
+    if config.max_features is not None:
+        counts = most_frequent(counts, config.max_features)
+    return counts.orderBy(F.desc("cf"), F.asc("term"))
 
 
 @dataclass
@@ -98,6 +128,8 @@ class TfidfModel:
 
     @staticmethod
     def fit(df: DataFrame, text: str, config: TfidfConfig) -> "TfidfModel":
+        if config.max_features is None:
+            raise ValueError("a fitted vocabulary travels with the plan, so it needs max_features")
         rows = vocabulary(df, text, config).collect()  # at most max_features rows
         n_docs = df.count()
         idf = {r["term"]: log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows}
@@ -168,30 +200,32 @@ class TfidfModel:
     def save(self, spark: SparkSession, path: str) -> None:
         """The vocabulary as a small table, the settings and the counting stage as its siblings."""
         self.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocabulary")
-        c = self.config
-        settings = [(c.low, c.high, c.max_features, c.sublinear, c.pattern, list(c.stop_words), self.n_docs)]
-        spark.createDataFrame(settings, _SETTINGS).coalesce(1).write.mode("overwrite").json(
-            f"{path}/settings"
-        )
+        save_config(spark, self.config, f"{path}/settings")
+        spark.createDataFrame([(self.n_docs,)], "n_docs long").coalesce(1).write.mode("overwrite").json(f"{path}/size")
         if self.counts is not None:
             self.counts.write().overwrite().save(f"{path}/counts")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "TfidfModel":
-        s = spark.read.schema(_SETTINGS).json(f"{path}/settings").first()
         rows = spark.read.parquet(f"{path}/vocabulary").orderBy("term_id").collect()
-        config = TfidfConfig(
-            s["low"], s["high"], s["max_features"], s["sublinear"], s["pattern"], tuple(s["stop_words"])
-        )
+        config, n_docs = load_config(spark, f"{path}/settings"), spark.read.json(f"{path}/size").first()["n_docs"]
         counts = CountVectorizerModel.load(f"{path}/counts") if rows else None
         return TfidfModel(
-            config, [r["term"] for r in rows], [r["idf"] for r in rows], s["n_docs"], counts)
+            config, [r["term"] for r in rows], [r["idf"] for r in rows], n_docs, counts)
 
 
-_SETTINGS = (
-    "low int, high int, max_features int, sublinear boolean, pattern string, "
-    "stop_words array<string>, n_docs long"
-)
+_SETTINGS = "low int, high int, max_features int, sublinear boolean, pattern string, stop_words array<string>"
+
+
+def save_config(spark: SparkSession, config: TfidfConfig, path: str) -> None:
+    c = config
+    row = [(c.low, c.high, c.max_features, c.sublinear, c.pattern, list(c.stop_words))]
+    spark.createDataFrame(row, _SETTINGS).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_config(spark: SparkSession, path: str) -> TfidfConfig:
+    s = spark.read.schema(_SETTINGS).json(path).first()
+    return TfidfConfig(s["low"], s["high"], s["max_features"], s["sublinear"], s["pattern"], tuple(s["stop_words"]))
 
 
 def explode_vectors(df: DataFrame, key: str, vector: str = "tfidf") -> DataFrame:

@@ -34,7 +34,7 @@ STOP_WORDS = (
     "the", "of", "and", "to", "in", "a", "is", "that", "der", "die", "und", "le", "la", "de", "des", "que",
     "el",
 )
-RETRIEVER = TfidfConfig(1, 2, 25_000, sublinear=True, stop_words=STOP_WORDS)
+RETRIEVER = TfidfConfig(1, 2, sublinear=True, stop_words=STOP_WORDS)
 
 WEIGHTS = LinearWeights(
     weights={

@@ -107,6 +107,27 @@ def test_first_n_is_exact_and_not_sorted_as_a_whole(spark):
     assert limits.first_n(df, "k", 5000).count() == 1000
 
 
+def test_first_n_by_counting_ranges(spark, monkeypatch):
+    """So many keys that their ranges are counted more than once."""
+    monkeypatch.setattr(limits, "FEW_KEYS", 20)
+    df = spark.range(0, 3000, 1, 6).select((F.col("id") * 7 % 3001).alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    keys = sorted(i * 7 % 3001 for i in range(3000))
+    for n in (0, 1, 19, 700, 2999, 3000, 9000):
+        assert sorted(r["k"] for r in limits.first_n(df, "k", n).collect()) == keys[:n]
+    names = sorted(f"n{i}" for i in range(3000))
+    assert sorted(r["name"] for r in limits.first_n(df, "name", 1234).collect()) == names[:1234]
+    assert limits.first_n(df.where("false"), "k", 5).count() == 0
+    same = spark.range(100).select(F.lit(1).alias("k"))
+    assert limits.first_n(same, "k", 30).count() == 100
+
+
+def test_capped_pairs_pair_once(spark, tmp_path):
+    """The cut is found in what was stored: the plan of the result has no join."""
+    raw(spark, ROWS).write.parquet(str(tmp_path / "m"))
+    plan = plan_of(pairs.capped_pairs(spark.read.parquet(str(tmp_path / "m")), "brand", max_pairs=2))
+    assert "Join" not in plan and "TakeOrdered" not in plan
+
+
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([(1,), (2,), (1,)], "k int")
     assert [tuple(r) for r in limits.duplicate_keys(df, "k").collect()] == [(1, 2)]

@@ -2,9 +2,10 @@ import math
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from compare import plan_of
 from msgtriage.operators import retrieval
@@ -39,12 +40,15 @@ def brute_vector(text, idf, config):
     return {w: x / norm for w, x in raw.items()}
 
 
-def brute_top(k):
-    idf = brute_model([t for _, t, _ in CORPUS], CONFIG)
-    cases = {i: brute_vector(t, idf, CONFIG) for i, t, _ in CORPUS}
+WHOLE = replace(CONFIG, max_features=None)
+
+
+def brute_top(k, config=CONFIG, corpus=CORPUS, queries=QUERIES):
+    idf = brute_model([t for _, t, _ in corpus], config)
+    cases = {i: brute_vector(t, idf, config) for i, t, _ in corpus}
     out = {}
-    for q, text in QUERIES:
-        v = brute_vector(text, idf, CONFIG)
+    for q, text in queries:
+        v = brute_vector(text, idf, config)
         scored = [(round(sum(x * c.get(w, 0) for w, x in v.items()), 6), i) for i, c in cases.items()]
         out[q] = sorted(((s, i) for s, i in scored if s > 0), key=lambda p: (-p[0], p[1]))[:k]
     return out
@@ -65,6 +69,12 @@ def index(corpus):
     return CaseIndex.build(corpus, CONFIG)
 
 
+@pytest.fixture(scope="module")
+def whole_index(corpus):
+    """With every term."""
+    return CaseIndex.build(corpus, WHOLE)
+
+
 def found(ranked):
     out = {q: [] for q, _ in QUERIES}
     for r in sorted(ranked.collect(), key=lambda r: r["rank"]):
@@ -90,31 +100,67 @@ def test_vocabulary_and_weights_by_brute_force(spark, corpus):
         assert all(got[k] == pytest.approx(expected[k]) for k in got)
 
 
-def test_index_side_broadcast(index, queries):
-    index.postings = 0
-    assert_same(found(rank_cases(queries, index, 3)), brute_top(3))
-
-
-def test_query_side_broadcast(index, queries):
-    index.postings = 10**9
-    assert_same(found(rank_cases(queries, index, 3)), brute_top(3))
-
-
-@pytest.mark.parametrize("postings", [900, 10**6])
-def test_blocks_when_no_side_fits(index, queries, postings):
-    """Neither side may be broadcast as a whole; cut into blocks the result is the same."""
-    index.postings = postings
-    queries = queries if postings > 1000 else queries.unionByName(
-        queries.select((F.col("id") + 1000).alias("id"), F.repeat(F.lit("w1 "), 3000).alias("customer_text")))
-    got = found(rank_cases(queries.where("id < 1000"), index, 3, max_broadcast=300)) if postings > 1000 else None
-    if got is None:
-        ranked = rank_cases(queries, index, 3, max_broadcast=300).where("id < 1000")
-        got = found(ranked)
-    assert_same(got, brute_top(3))
+def test_best_cases_by_brute_force(index, whole_index, queries):
+    for k in (1, 3, 70):
+        assert_same(found(rank_cases(queries, index, k)), brute_top(k))
+        assert_same(found(rank_cases(queries, whole_index, k)), brute_top(k, WHOLE))
+
+
+@pytest.mark.parametrize("settings", [
+    {"FIRST": 1}, {"SCORED_FIRST": 1}, {"REST": 0.9}, {"REST": 0.0}, {"CLASS_BASE": 1.05, "LEVEL_STEP": 0.1},
+    {"CLASS_BASE": 50.0, "LEVEL_STEP": 9.0}, {"PART": 7},
+])
+def test_no_setting_changes_the_result(spark, queries, monkeypatch, settings):
+    """Repeated words, short and long cases, and terms that are dealt to parts."""
+    for name, value in settings.items():
+        monkeypatch.setattr(retrieval, name, value)
+    long_cases = [(1000 + i, " ".join(["hot"] * i + [f"w{j % 40}" for j in range(i, 9 * i)]), "x") for i in range(1, 40)]
+    index = CaseIndex.build(
+        spark.createDataFrame(CORPUS + long_cases, "inquiry_id long, customer_text string, agent_text string"), WHOLE)
+    assert_same(found(rank_cases(queries, index, 3)), brute_top(3, WHOLE, CORPUS + long_cases))
+
+
+def test_bounds_spare_most_pairs(spark):
+    """Cases of one topic each: a message is scored against few cases of other topics."""
+    topics = [[f"t{i}x{j}" for j in range(12)] for i in range(25)]
+    common = [f"c{j}" for j in range(30)]
+
+    def text(topic, rng=random.Random(5)):
+        return " ".join(rng.choice(topic) if rng.random() < 0.5 else rng.choice(common) for _ in range(40))
+
+    cases = [(i, text(topics[i % 25]), "x") for i in range(1000)]
+    asked = [(i, text(topics[i])) for i in range(25)]
+    index = CaseIndex.build(spark.createDataFrame(cases, "inquiry_id long, customer_text string, agent_text string"),
+                            TfidfConfig(1, 1, sublinear=True))
+    queries = spark.createDataFrame(asked, "id long, customer_text string")
+    assert retrieval.scores(queries, index).count() > 20_000
+    assert retrieval.candidates(queries, index, 3).count() < 2_000
+    got = sorted((r["id"], r["score"]) for r in rank_cases(queries, index, 3).collect())
+    by_score = Window.partitionBy("id").orderBy(F.desc("score"))
+    every = retrieval.scores(queries, index).withColumn("n", F.row_number().over(by_score)).where("n <= 3")
+    assert got == sorted((r["id"], r["score"]) for r in every.collect())
+
+
+def test_scores_of_all_pairs(index, queries):
+    got = {(r["id"], r["doc_id"]): r["score"] for r in retrieval.scores(queries, index).collect()}
+    want = {(q, i): s for q, best in brute_top(1000).items() for s, i in best}
+    assert {p: s for p, s in got.items() if s > 0} == pytest.approx(want, abs=1.1e-6)
+
+
+def test_index_grown_in_steps_equals_one_built_at_once(spark, corpus, queries, tmp_path):
+    whole = CaseIndex.build(corpus, WHOLE, path=str(tmp_path / "whole"))
+    grown = CaseIndex.build(corpus.where("inquiry_id < 20"), WHOLE, path=str(tmp_path / "grown"))
+    first = sorted(map(str, rank_cases(queries, grown, 3).collect()))
+    second = grown.extend(corpus.where("inquiry_id between 20 and 50")).extend(corpus.where("inquiry_id > 50"))
+    rows = lambda i: sorted((r["doc_id"], r["term"], round(r["weight"], 12)) for r in i.postings.collect())
+    assert rows(second) == rows(whole) and second.n_docs == whole.n_docs
+    assert_same(found(rank_cases(queries, second, 3)), brute_top(3, WHOLE))
+    assert sorted(map(str, rank_cases(queries, grown, 3).collect())) == first
+    again = CaseIndex.load(spark, str(tmp_path / "grown"))
+    assert again.version == 2 and rows(again) == rows(whole)
 
 
 def test_retrieve_keeps_messages_without_a_match(index, queries):
-    index.postings = 0
     rows = {r["id"]: r for r in retrieve(queries, index, 2).collect()}
     assert len(rows) == len(QUERIES)
     for q in (50, 51, 52):
@@ -124,21 +170,33 @@ def test_retrieve_keeps_messages_without_a_match(index, queries):
     assert rows[53]["retrieval_score"] == 1.0
 
 
-def test_one_exchange_by_message_and_no_pair_shuffle(index, queries):
-    index.postings = 0
-    plan = plan_of(rank_cases(queries, index, 3))
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+def exchanged_scans(plan):
+    """The tables that are read right below an exchange."""
+    lines = [re.sub(r"^[\s:+*|-]*(\(\d+\) )?", "", line) for line in plan.splitlines()]
+    out, below = [], None
+    for line in lines:
+        if line.startswith("Exchange"):
+            below = True
+        elif line.startswith(("FileScan", "Scan")):
+            if below:
+                out.append(line)
+            below = None
+        elif not line.startswith(("Filter", "Project", "ColumnarToRow", "Sort", "WholeStageCodegen", "InputAdapter")):
+            below = None
+    return out
 
 
-def test_search_and_join_back_share_one_exchange(index, queries):
-    index.postings = 0
-    answers = retrieve(queries, index, 3)
-    answers.collect()
-    final = plan_of(answers).split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final
-    keyed = [l for l in final.splitlines() if "Exchange hashpartitioning" in l and "Reused" not in l]
-    assert len(keyed) == 1
+def test_the_index_is_read_where_it_lies(spark, whole_index, queries):
+    """Without a broadcast, the postings and the weights are joined without an exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(rank_cases(queries, whole_index, 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Both are read for the lower bounds and for the result.
+    assert plan.count("Bucketed: true") == 4 and "CartesianProduct" not in plan
+    assert not [scan for scan in exchanged_scans(plan) if "Bucketed: true" in scan]
 
 
 def test_a_message_without_an_id_is_an_error(spark, index):
@@ -147,24 +205,11 @@ def test_a_message_without_an_id_is_an_error(spark, index):
         retrieve(df, index, 1).collect()
 
 
-def test_query_side_plan_shuffles_only_the_best(index, queries):
-    index.postings = 10**9
-    plan = plan_of(rank_cases(queries, index, 3))
-    partial = plan.index("Partial")
-    # The pair sums lie below the partial limit, with no exchange between.
-    assert "HashAggregate" in plan[partial:] and plan[:partial].count("Exchange hashpartitioning") == 1
-
-
-def test_postings_bound_holds(spark, corpus):
-    model = TfidfModel.fit(corpus, "customer_text", CONFIG)
-    actual = model.postings(corpus, "inquiry_id", "customer_text").count()
-    assert retrieval.postings_bound(corpus, "customer_text", CONFIG) >= actual
-
-
 def test_stored_index_gives_the_same_answers(spark, corpus, queries, tmp_path):
     stored = CaseIndex.build(corpus, CONFIG, path=str(tmp_path / "index"))
     again = CaseIndex.load(spark, str(tmp_path / "index"))
-    assert again.model == stored.model and again.postings == stored.postings
+    assert again.config == stored.config and again.n_docs == stored.n_docs
+    assert again.postings.count() == stored.postings.count()
     assert_same(found(rank_cases(queries, again, 3)), brute_top(3))
 
 
@@ -173,7 +218,7 @@ def test_rows_without_texts_are_not_indexed(spark):
         [(1, "aa bb", None), (2, None, "x"), (3, "aa cc", "x")],
         "inquiry_id long, customer_text string, agent_text string")
     index = CaseIndex.build(df, CONFIG)
-    assert index.model.n_docs == 1 and index.cases.count() == 1
+    assert index.n_docs == 1 and index.weights.select("doc_id").distinct().count() == 1
 
 
 def test_empty_corpus(spark, queries):
@@ -182,12 +227,16 @@ def test_empty_corpus(spark, queries):
     assert len(rows) == len(QUERIES) and all(r["retrieved"] == [] for r in rows)
 
 
-def test_texts_too_large_to_broadcast(index, queries, monkeypatch):
-    index.postings = 0
-    expected = sorted(map(str, retrieve(queries, index, 3).collect()))
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_CHARACTERS", 0)
-    assert sorted(map(str, retrieve(queries, index, 3).collect())) == expected
-
-
 def test_default_stop_words_come_from_spark(spark):
     assert "the" in retriever_config().stop_words
+
+
+def test_most_frequent_terms_cut_within_equal_counts(spark):
+    from msgtriage.operators.tfidf import most_frequent
+
+    rows = [(f"t{i:03d}", 1 + i % 4, 1) for i in range(200)]
+    counts = spark.createDataFrame(rows, "term string, cf long, df long").repartition(5)
+    for n in (1, 50, 51, 120, 199, 200, 500):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
+        got = most_frequent(counts, n).collect()
+        assert sorted(r["term"] for r in got) == sorted(r[0] for r in want)
