@@ -255,11 +255,21 @@ def exact_similarity(weights: str) -> Column:
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, root: the smallest id of each connected component. ``links`` has a and b, ``nodes`` id.
 
-    Every round gives a node the smallest root among its own and its neighbours', then the root of its
+    A node that has links to many others keeps the one to the smallest of them, and the others are
+    linked to that one instead: the components are the same, and a group whose members all have links
+    to the same few has hardly more links than members.
+
+    Every round then gives a node the smallest root among its own and its neighbours', then the root of its
     root; components of stars and short chains are done in a few rounds. Minima by node are taken in
     each task before the shuffle.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
+    least = F.min("a").over(Window.partitionBy("b"))
+    told = links.select("a", "b").withColumn("least", least)
+    fewer = told.select(F.explode(F.array(
+        F.struct(F.col("least").alias("a"), "b"), F.struct(F.col("least").alias("a"), F.col("a").alias("b")))).alias("l")
+        ).select("l.*").where("a != b").distinct()
+    fewer = materialize(fewer, "fewer-links")
+    both = materialize(fewer.union(fewer.select(F.col("b"), F.col("a"))).distinct(), "links")
     own = nodes.select("id", F.col("id").alias("root"))
     near = both.select(F.col("a").alias("id"), F.col("b").alias("root"))
     roots = materialize(own.union(near).groupBy("id").agg(F.min("root").alias("root")), "roots")

@@ -174,3 +174,12 @@ def test_chain_at_the_least_similarity(spark):
     ends = {1: set(range(1, 5)), 2: set(range(1, 6)), 3: set(range(2, 6))}
     got, seen = one_bucket(spark, ends)
     assert set(got.values()) == {1} and (2, 3) in seen
+
+
+def test_components_of_many_centres(spark):
+    """A group whose members all have links to the same few, chains between groups, and lone pairs."""
+    links = [(c, m) for c in range(20) for m in range(100, 400)] + [(399, 1000), (1000, 1001), (5000, 5001), (5001, 5002)]
+    nodes = sorted({i for link in links for i in link} | {7777})
+    want = {i: 0 for i in nodes} | {5000: 5000, 5001: 5000, 5002: 5000, 7777: 7777}
+    got = D.components(spark.createDataFrame(links, "a long, b long"), spark.createDataFrame([(i,) for i in nodes], "id long"))
+    assert {r["id"]: r["root"] for r in got.collect()} == want
