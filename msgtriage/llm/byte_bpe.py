@@ -84,28 +84,31 @@ class Codec:
             self.table = dict(enumerate(byte_characters()))
             self.rank = {token: i for i, token in enumerate(self.tokens)}
             self.pieces = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+            #: The ids of pre-tokens met lately, and of those met before them: one that is met again moves up.
             self.memo: dict[str, bytes] = {}
+            self.older: dict[str, bytes] = {}
             self._ready = True
 
     def _ids(self, pre_token: str) -> bytes:
-        raw = pre_token.encode()
-        whole = self.rank.get(raw)
-        if whole is not None:
-            ids = np.array([whole], "<u4")
-        else:
-            ids = np.array(self.pieces.encode(raw.decode("latin-1").translate(self.table)), "<i8").astype("<u4") - 1
-        found = ids.astype("<u4").tobytes()
+        found = self.older.get(pre_token)
+        if found is None:
+            raw = pre_token.encode()
+            whole = self.rank.get(raw)
+            if whole is not None:
+                found = whole.to_bytes(4, "little")
+            else:
+                pieces = self.pieces.encode(raw.decode("latin-1").translate(self.table))
+                found = (np.array(pieces, "<i8") - 1).astype("<u4").tobytes()
         if len(pre_token) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
             self.memo[pre_token] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         self._prepare()
-        known = self.memo.get
-        return b"".join([known(x) or self._ids(x) for x in self.cut(text)])
+        return b"".join([self.memo.get(x) or self._ids(x) for x in self.cut(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
