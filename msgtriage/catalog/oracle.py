@@ -520,6 +520,11 @@ ORACLES: dict[str, str] = {
   UNION ALL (SELECT 1, id, customer_text, intent FROM weak ORDER BY id
              LIMIT greatest(0, 5000 - (SELECT count(*) FROM gold))))
 SELECT * FROM both_parts""",
+    "fit_certificate": f"""WITH {KEPT}, {WEAK}, weak_part AS (
+  SELECT intent FROM weak ORDER BY id LIMIT greatest(0, 5000 - (SELECT count(*) FROM gold))),
+rows_of AS (SELECT intent FROM gold UNION ALL SELECT intent FROM weak_part)
+SELECT s.settings, intent, count(*) AS n, true AS converged
+FROM rows_of, (VALUES ('simple'), ('production')) s(settings) WHERE intent IS NOT NULL GROUP BY ALL""",
     "quota_sample": f"""WITH {CANDIDATES}, {QUOTAS}, accepted AS (
   SELECT c.* FROM (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY id) AS k FROM candidates) c
   JOIN quotas USING (intent) WHERE k <= target)
@@ -708,3 +713,6 @@ UNION ALL SELECT item_id, 'actionability', b, b FROM scored
 UNION ALL SELECT item_id, 'brand_tone', 6 - a, a FROM scored""",
     "predictions_through_csv": f"WITH {DETAILED} SELECT * EXCLUDE (customer_text, trigger_rule) FROM detailed",
 }
+
+# Messages that come twice are answered once.
+ORACLES["stream_triage_repeats"] = ORACLES["stream_triage"]

@@ -453,11 +453,25 @@ def majority_class(spark, sf):
     return classify.majority_class(docs(spark, sf), "lang")
 
 
+def _training_rows(spark, sf):
+    return labeling.training_set(
+        gold(spark, sf), pairs.drop_leaked(texts(spark, sf), gold(spark, sf), "id"), demo.LEXICON)
+
+
 @lru_cache(maxsize=8)
 def _intent_model(spark, sf, settings=classify.PRODUCTION):
-    train = labeling.training_set(
-        gold(spark, sf), pairs.drop_leaked(texts(spark, sf), gold(spark, sf), "id"), demo.LEXICON)
-    return classify.IntentModel.fit(train, settings)
+    return classify.IntentModel.fit(_training_rows(spark, sf), settings)
+
+
+@query
+def fit_certificate(spark, sf):
+    """Both fitted classifiers: whether the gradient of the penalised loss vanishes, class by class."""
+    train = materialize(_training_rows(spark, sf), "training-rows")
+    parts = [
+        _intent_model(spark, sf, settings).certificate(train).select(
+            F.lit(name).alias("settings"), "intent", "n", "converged")
+        for name, settings in (("simple", classify.SIMPLE), ("production", classify.PRODUCTION))]
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -535,8 +549,6 @@ def production_triage(spark, sf):
 @query
 def stream_triage(spark, sf):
     """The production plan fed by a file stream of user turns, read back when the stream is done."""
-    import uuid
-
     folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf, "conversations").schema
     stream = streaming.read_message_stream(spark, f"{sf}/conversations*.parquet", schema)
@@ -549,6 +561,22 @@ def stream_triage(spark, sf):
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
+@query
+def stream_triage_repeats(spark, sf):
+    """The stream of user turns with every message coming twice; each is answered once."""
+    folder = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "conversations").schema
+    turns = [streaming.read_message_stream(spark, f"{sf}/conversations*.parquet", schema) for _ in range(2)]
+    asked = turns[0].unionByName(turns[1]).select(*raw_message_columns()).where("inbound").select(
+        F.col("tweet_id").alias("id"), F.col("text").alias("customer_text"), F.current_timestamp().alias("seen"))
+    once = streaming.drop_repeated(asked, "id", "seen", "1 hour").drop("seen")
+    run = streaming.triage_stream(
+        once, demo.WEIGHTS, case_index(spark, sf), demo.PACK, f"{folder}/out", f"{folder}/checkpoint",
+        finish=lambda df: df.select(*ANSWER, "retrieval_score"))
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 @query

@@ -18,6 +18,8 @@ from msgtriage.session import materialize, work_dir
 
 MAX_CLASSES = 1_000
 ROWS_PER_PART = 20_000
+#: The largest derivative of the penalised mean loss that a fitted model may have.
+GRADIENT = 1e-4
 
 # Fixed values
 DAMPING = 0.75
@@ -139,6 +141,41 @@ class IntentModel:
         terms = self.tfidf.table(spark).select("term_id", "term")
         return placed.join(terms, "term_id").select("intent", "term", "coefficient")
 
+    def certificate(
+        self, labelled: DataFrame, text: str = "customer_text", label: str = "intent", tolerance: float = GRADIENT,
+    ) -> DataFrame:
+        """I8: ``(intent, n, gradient, converged)``, one row per class of the rows that the model was fitted on.
+
+        ``gradient`` is the largest derivative of the penalised loss by a coefficient or the intercept of the
+        class, summed over the rows in Spark from what the model predicts. The loss is convex, so a model with
+        none above ``tolerance`` is the one that the fit looks for, whatever steps led to it.
+        """
+        spark = labelled.sparkSession
+        rows = labelled.where(F.col(label).isNotNull()).select(
+            normalize_text(text).alias("_clean"), F.col(label).alias("_label"))
+        weights = materialize(class_weights(rows, "_label"), "class-weights")
+        total = weights.agg(F.sum("n")).first()[0]
+        scored = self.regression.transform(self.tfidf.vectors(self.tfidf.transform(rows, "_clean", "_x"), "_clean"))
+        errors = F.zip_with(
+            F.array(*map(F.lit, self.labels)), vector_to_array("probability"),
+            lambda name, p: F.struct(name.alias("intent"), (p - (name == F.col("_label")).cast("double")).alias("error")))
+        # The intercept is a term that every row has once.
+        terms = F.concat(
+            F.array(F.struct(F.lit(-1).alias("term_id"), F.lit(1.0).alias("value"))),
+            F.transform(F.arrays_zip("_x.indices", "_x.values"), lambda e: F.struct(
+                e["indices"].alias("term_id"), e["values"].alias("value"))))
+        wide = scored.join(F.broadcast(weights.select("_label", "weight")), "_label").select(
+            "weight", F.inline(errors), terms.alias("terms"))
+        slopes = wide.select("intent", (F.col("weight") * F.col("error") / total).alias("pull"), F.inline("terms")).groupBy(
+            "intent", "term_id").agg(F.sum(F.col("pull") * F.col("value")).alias("slope"))
+        held = self.coefficients(spark).join(self.tfidf.table(spark).select("term", "term_id"), "term").select(
+            "intent", "term_id", (F.col("coefficient") * self.regression.getOrDefault("regParam")).alias("penalty"))
+        both = slopes.join(held, ["intent", "term_id"], "full_outer")
+        size = F.abs(F.coalesce("slope", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0)))
+        steepest = both.groupBy("intent").agg(F.max(size).alias("gradient"))
+        return steepest.join(weights.select(F.col("_label").alias("intent"), "n"), "intent").select(
+            "intent", "n", "gradient", (F.col("gradient") <= tolerance).alias("converged"))
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.tfidf.save(spark, f"{path}/tfidf")
         self.regression.write().overwrite().save(f"{path}/regression")

@@ -24,6 +24,15 @@ def read_message_stream(
     return reader.load(path)
 
 
+def drop_repeated(messages: DataFrame, key: str, time: str, delay: str) -> DataFrame:
+    """A message whose id was seen no longer than ``delay`` before is dropped.
+
+    The ids are state, dealt by id, kept in the state store until ``delay`` after their ``time``;
+    so the state is bounded, and a stream that is started again still knows them.
+    """
+    return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
 def decide_stream(messages: DataFrame, model, pack: TriagePack) -> DataFrame:
     """The narrow half of the plan, stateless: it runs inside the stream as it is."""
     return classify_and_decide(messages, model, pack)

@@ -128,3 +128,20 @@ def test_coefficients_are_those_of_the_model(spark, train):
     want = {(label, term): matrix[i][j] for i, label in enumerate(model.labels) for j, term in enumerate(model.tfidf.terms)}
     got = {(r["intent"], r["term"]): r["coefficient"] for r in model.coefficients(spark).collect()}
     assert got == pytest.approx(want)
+
+
+def test_certificate_tells_a_fitted_model(spark):
+    """The gradient vanishes for the fit, and does not for a fit that was stopped."""
+    from dataclasses import replace
+
+    from msgtriage.operators import classify
+
+    words = {"a": ["red", "rose", "ruby"], "b": ["blue", "sky", "sea"], "c": ["green", "leaf", "grass"]}
+    rows = [(i, " ".join(w[(i + j) % 3] for j in range(1 + i % 4)) + f" common{i % 5}", label)
+            for label, w in words.items() for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, customer_text string, intent string")
+    settings = replace(classify.PRODUCTION, features=replace(classify.PRODUCTION.features, max_features=40))
+    done = {r["intent"]: r for r in classify.IntentModel.fit(df, settings).certificate(df).collect()}
+    assert set(done) == set(words) and all(r["converged"] and r["n"] == 20 for r in done.values())
+    stopped = classify.IntentModel.fit(df, replace(settings, max_iter=1)).certificate(df).collect()
+    assert not any(r["converged"] for r in stopped)

@@ -8,7 +8,7 @@ from msgtriage.operators.retrieval import CaseIndex
 from msgtriage.operators.tfidf import TfidfConfig
 from msgtriage.packs import support
 from msgtriage.plans import evaluation, triage
-from msgtriage.streaming.triage_stream import decide_stream, read_message_stream, triage_stream
+from msgtriage.streaming.triage_stream import decide_stream, drop_repeated, read_message_stream, triage_stream
 
 CORPUS = [
     (1, "my phone is slow after the update", "Try restarting the phone and tell us how it goes, @123."),
@@ -109,3 +109,26 @@ def test_decisions_run_inside_the_stream(spark, messages, tmp_path):
         availableNow=True).start(str(tmp_path / "out"))
     run.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_repeated_messages_are_answered_once_after_a_restart(spark, messages, index, tmp_path):
+    """Ids come again in the same batch, in a later one, and after the stream was started anew."""
+    columns = ["id", "intent", "trigger_rule", "drafted_reply"]
+
+    def arrive(ids):
+        messages.where(F.col("id").isin(ids)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = read_message_stream(spark, str(tmp_path / "in"), messages.schema, max_files=1)
+        once = drop_repeated(stream.withColumn("seen", F.current_timestamp()), "id", "seen", "1 hour").drop("seen")
+        triage_stream(once, MODEL, index, support.PACK, str(tmp_path / "out"), str(tmp_path / "cp"),
+                      finish=lambda df: df.select(*columns)).awaitTermination()
+
+    arrive([1, 2, 3])
+    arrive([2, 3, 4])
+    run()
+    arrive([1, 4, 5, 6, 7])
+    run()
+    batch = triage.production_triage(messages, MODEL, index, support.PACK).select(*columns)
+    written = spark.read.parquet(str(tmp_path / "out")).select(*columns)
+    assert sorted(map(str, written.collect())) == sorted(map(str, batch.collect()))
