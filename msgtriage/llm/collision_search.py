@@ -43,9 +43,9 @@ BLOCK = 8_192
 QUERIES = 2_048
 FUNCTIONS = 64
 THRESHOLD = 0.6
-CAUGHT = 0.95
-FIRST_HALF = 0.3
-WIDEN = 1.1
+CAUGHT = 0.92
+FIRST_HALF = 0.8
+WIDEN = 1.12
 SEED = 5
 
 FOUND = "query_id long, vec_id long, score double"
