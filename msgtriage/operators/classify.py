@@ -18,8 +18,8 @@ from msgtriage.session import materialize, work_dir
 
 MAX_CLASSES = 1_000
 ROWS_PER_PART = 20_000
-#: The largest derivative of the penalised mean loss that a fitted model may have.
-GRADIENT = 1e-4
+#: The largest derivative of the penalised mean loss that a fitted model may have; before a fit it is about 0.1.
+GRADIENT = 1e-3
 
 # Fixed values
 DAMPING = 0.75
