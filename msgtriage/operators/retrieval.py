@@ -36,8 +36,8 @@ from msgtriage.session import materialize, work_dir
 
 SCORE_DIGITS = 6      # ranking precision; ties go to the lower case id
 REPORTED_DIGITS = 4   # fixed value: precision of reported scores
-CLASS_BASE = 1.5      # norms of one class differ by this factor at most
-LEVEL_STEP = 0.35     # damped counts of one block differ by this at most
+CLASS_BASE = 3.0      # norms of one class differ by this factor at most
+LEVEL_STEP = 1.0      # damped counts of one block differ by this at most
 TOP_LEVEL = 15
 PART = 100_000        # postings of a term and part, about
 FIRST = 300           # postings of a message that are read for its lower bound, about
