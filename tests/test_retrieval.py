@@ -108,11 +108,11 @@ def test_best_cases_by_brute_force(index, whole_index, queries):
 
 @pytest.mark.parametrize("settings", [
     {"FIRST": 1}, {"SCORED_FIRST": 1}, {"REST": 0.9}, {"REST": 0.0}, {"CLASS_BASE": 1.05, "LEVEL_STEP": 0.1},
-    {"CLASS_BASE": 50.0, "LEVEL_STEP": 9.0}, {"PART": 7},
+    {"CLASS_BASE": 50.0, "LEVEL_STEP": 9.0}, {"PART": 7}, {"WHOLE": 60}, {"WHOLE": 1_000_000},
 ])
 def test_no_setting_changes_the_result(spark, queries, monkeypatch, settings):
-    """Repeated words, short and long cases, and terms that are dealt to parts."""
-    for name, value in settings.items():
+    """Repeated words, short and long cases, and terms that are dealt to parts; bounds are sought if not said otherwise."""
+    for name, value in {"WHOLE": 0, **settings}.items():
         monkeypatch.setattr(retrieval, name, value)
     long_cases = [(1000 + i, " ".join(["hot"] * i + [f"w{j % 40}" for j in range(i, 9 * i)]), "x") for i in range(1, 40)]
     index = CaseIndex.build(
@@ -120,7 +120,29 @@ def test_no_setting_changes_the_result(spark, queries, monkeypatch, settings):
     assert_same(found(rank_cases(queries, index, 3)), brute_top(3, WHOLE, CORPUS + long_cases))
 
 
-def test_bounds_spare_most_pairs(spark):
+@pytest.mark.parametrize("read_whole", [0, 1_000_000])
+def test_long_messages_against_short_cases_and_the_reverse(spark, monkeypatch, read_whole):
+    """A pair is scored from its shorter side, whichever that is."""
+    monkeypatch.setattr(retrieval, "WHOLE", read_whole)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, k=3 if i % 2 else 150))) for i in range(40)]
+    config = TfidfConfig(1, 1, sublinear=True)
+    index = CaseIndex.build(spark.createDataFrame(
+        [(i, t, "x") for i, t in texts], "inquiry_id long, customer_text string, agent_text string"), config)
+    asked = spark.createDataFrame(texts, "id long, customer_text string")
+    vector = {}
+    for r in index.weights.collect():
+        vector.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
+    # The messages are the cases, so their weights are those of the index.
+    for r in rank_cases(asked, index, 40).collect():
+        q, d = vector[r["id"]], vector[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(w * d.get(t, 0.0) for t, w in q.items()), abs=1.1e-6)
+    best = {r["id"]: r["doc_id"] for r in rank_cases(asked, index, 1).collect()}
+    assert len(best) == 40 and all(best[i] == i for i, _ in texts if i % 2 == 0)
+
+
+def test_bounds_spare_most_pairs(spark, monkeypatch):
     """Cases of one topic each: a message is scored against few cases of other topics."""
     topics = [[f"t{i}x{j}" for j in range(12)] for i in range(25)]
     common = [f"c{j}" for j in range(30)]
@@ -133,6 +155,7 @@ def test_bounds_spare_most_pairs(spark):
     index = CaseIndex.build(spark.createDataFrame(cases, "inquiry_id long, customer_text string, agent_text string"),
                             TfidfConfig(1, 1, sublinear=True))
     queries = spark.createDataFrame(asked, "id long, customer_text string")
+    monkeypatch.setattr(retrieval, "WHOLE", 0)
     assert retrieval.scores(queries, index).count() > 20_000
     assert retrieval.candidates(queries, index, 3).count() < 2_000
     got = sorted((r["id"], r["score"]) for r in rank_cases(queries, index, 3).collect())
