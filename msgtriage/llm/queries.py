@@ -36,7 +36,8 @@ def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held = lm_scoring.held_out()
     model = lm_scoring.LanguageModel.fit(docs, train=~held)
-    return model.score(docs).withColumn("held_out", held)
+    scored = model.score(docs)
+    return scored.select("doc_id", held.alias("held_out"), *[c for c in scored.columns if c != "doc_id"])
 
 
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
