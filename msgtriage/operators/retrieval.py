@@ -45,8 +45,8 @@ PART = 100_000        # postings of a term and part, about
 FIRST = 300           # postings of a message that are read for its lower bound, about
 SCORED_FIRST = 4      # times k cases are scored for it
 REST = 0.4
-#: Postings of a message that are read without bounds. Measured where bounds spare nothing: they and the
-#: scores of what they leave took 39 ms of CPU a message, as much as reading 12,000 postings of 3.2 us.
+#: Postings of a message that are read without bounds. An estimate, from wall-clock times on eight cores
+#: where bounds spare next to nothing: they and what they leave took 39 core-ms a message, a posting 3.2 core-us.
 WHOLE = 12_000
 #: Sums in another order differ by less; scores are rounded to SCORE_DIGITS.
 MARGIN = 2e-6
