@@ -263,3 +263,21 @@ def test_most_frequent_terms_cut_within_equal_counts(spark):
         want = sorted(rows, key=lambda r: (-r[1], r[0]))[:n]
         got = most_frequent(counts, n).collect()
         assert sorted(r["term"] for r in got) == sorted(r[0] for r in want)
+
+
+def test_sums_of_pairs_stay_in_their_task(spark, whole_index, queries):
+    """What moves grows with the messages and the cases, not with their pairs."""
+    for found_pairs in (rank_cases(queries, whole_index, 3), retrieval.scores(queries, whole_index)):
+        plan = plan_of(found_pairs)
+        assert "CartesianProduct" not in plan and not re.search(r"hashpartitioning\(_q#\w+, doc_id#", plan)
+
+
+def test_groups_and_blocks_change_nothing(whole_index, queries, monkeypatch):
+    monkeypatch.setattr(retrieval, "ENTRIES", 300)
+    monkeypatch.setattr(retrieval, "AT_ONCE", 100)
+    monkeypatch.setattr(retrieval, "PAIRS", 400)
+    for k in (1, 70):
+        assert_same(found(rank_cases(queries, whole_index, k)), brute_top(k, WHOLE))
+    got = {(r["id"], r["doc_id"]): r["score"] for r in retrieval.scores(queries, whole_index).collect()}
+    want = {(q, i): s for q, best in brute_top(1000, WHOLE).items() for s, i in best}
+    assert {p: s for p, s in got.items() if s > 0} == pytest.approx(want, abs=1.1e-6)
