@@ -139,3 +139,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(inbound,true)" in plan and "EqualTo(author_id,brand)" in plan
     assert "ReadSchema: struct<tweet_id:bigint,inbound:boolean,text:string>" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_the_leakage_join_moves_digests_of_evaluation_texts(spark):
+    """Whole texts are not repeated per salt."""
+    corpus = spark.createDataFrame([(1, " seen\n"), (2, "new"), (3, None)], "id long, customer_text string")
+    seen = spark.createDataFrame([("seen",), ("seen ",)], "customer_text string")
+    kept = pairs.drop_leaked(corpus, seen, "id")
+    assert sorted(r["id"] for r in kept.collect()) == [2, 3]
+    assert "sha2" in plan_of(kept)
