@@ -281,3 +281,19 @@ def test_groups_and_blocks_change_nothing(whole_index, queries, monkeypatch):
     got = {(r["id"], r["doc_id"]): r["score"] for r in retrieval.scores(queries, whole_index).collect()}
     want = {(q, i): s for q, best in brute_top(1000, WHOLE).items() for s, i in best}
     assert {p: s for p, s in got.items() if s > 0} == pytest.approx(want, abs=1.1e-6)
+
+
+def test_long_terms_with_rare_parts_are_not_counted(spark):
+    """The vocabulary is the same as if all terms were; terms whose parts cannot be in it need no count."""
+    from msgtriage.operators.tfidf import frequent_counts, most_frequent, term_counts
+
+    draw = random.Random(1)
+    words = [f"w{int(draw.paretovariate(0.6)) % 60}-x" for _ in range(2000)]
+    texts = [(i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 40)))) for i in range(120)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    every = term_counts(df, "text", TfidfConfig(1, 3)).count()
+    for low, n in ((1, 17), (1, 200), (1, 50_000), (2, 60)):
+        config = TfidfConfig(low, 3, n, stop_words=("w1",))
+        want = sorted(map(tuple, most_frequent(term_counts(df, "text", config), n).collect()), key=lambda r: (-r[1], r[0]))
+        assert list(map(tuple, vocabulary(df, "text", config).collect())) == want
+    assert frequent_counts(df, "text", TfidfConfig(1, 3, 17)).count() < every / 10
