@@ -297,3 +297,14 @@ def test_long_terms_with_rare_parts_are_not_counted(spark):
         want = sorted(map(tuple, most_frequent(term_counts(df, "text", config), n).collect()), key=lambda r: (-r[1], r[0]))
         assert list(map(tuple, vocabulary(df, "text", config).collect())) == want
     assert frequent_counts(df, "text", TfidfConfig(1, 3, 17)).count() < every / 10
+
+
+def test_many_pairs_make_no_more_copies(spark):
+    """Neither side is repeated for each few thousand rows of the other, since pairs leave a task as they are made."""
+    cases = spark.range(9000).selectExpr("id inquiry_id", "concat('aa bb', id % 50) customer_text", "'x' agent_text")
+    asked = spark.range(9000).selectExpr("id", "concat('aa bb', id % 50) customer_text")
+    index = CaseIndex.build(cases, TfidfConfig(1, 1))
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(_cell#\w+, (\d+)\)", plan_of(retrieval.scores(asked, index)))]
+    assert tasks and max(tasks) <= 2 * spark.sparkContext.defaultParallelism
+    pairs = retrieval.scores(asked.where("id < 30"), index)
+    assert pairs.count() == 30 * 9000 and pairs.where("doc_id = id and abs(score - 1) > 1e-6").count() == 0
