@@ -299,6 +299,24 @@ def test_long_terms_with_rare_parts_are_not_counted(spark):
     assert frequent_counts(df, "text", TfidfConfig(1, 3, 17)).count() < every / 10
 
 
+def test_terms_are_counted_where_their_texts_are(spark, monkeypatch):
+    """No row per occurrence, and the same counts however few texts are counted at a time."""
+    from msgtriage.operators import tfidf
+
+    texts = [None, "", "a", "a b", "a b a b a b", "b", "", "é a b c", "c c c c"] * 3
+    tokens = spark.createDataFrame([((t or "").split(),) for t in texts], "tokens array<string>").coalesce(2)
+    assert "Generate" not in plan_of(tfidf.term_counts_of(tokens, 2, None))
+    for at_once in (1, 9, 8_000_000):
+        monkeypatch.setattr(tfidf, "COUNTED", at_once, raising=False)
+        for n in (1, 2, 3):
+            cf, df = Counter(), Counter()
+            for words in ((t or "").split() for t in texts):
+                grams = [" ".join(words[i:i + n]) for i in range(len(words) - n + 1)]
+                cf.update(grams), df.update(set(grams))
+            got = {r["term"]: (r["cf"], r["df"]) for r in tfidf.term_counts_of(tokens, n, None).collect()}
+            assert got == {t: (cf[t], df[t]) for t in cf}
+
+
 def test_many_pairs_make_no_more_copies(spark):
     """Neither side is repeated for each few thousand rows of the other, since pairs leave a task as they are made."""
     cases = spark.range(9000).selectExpr("id inquiry_id", "concat('aa bb', id % 50) customer_text", "'x' agent_text")
