@@ -326,3 +326,39 @@ def test_many_pairs_make_no_more_copies(spark):
     assert tasks and max(tasks) <= 2 * spark.sparkContext.defaultParallelism
     pairs = retrieval.scores(asked.where("id < 30"), index)
     assert pairs.count() == 30 * 9000 and pairs.where("doc_id = id and abs(score - 1) > 1e-6").count() == 0
+
+
+def test_no_row_is_made_for_a_message_and_term(whole_index, queries, monkeypatch):
+    """A message moves as its words, once: its terms are many times larger than its text."""
+    def made(*_):
+        raise AssertionError("a row for each message and term")
+
+    monkeypatch.setattr(retrieval, "counts_by_row", made)
+    stored = []
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: stored.append(name) or df)
+    plan = plan_of(rank_cases(queries, whole_index, 3))
+    assert not stored and not re.search(r"hashpartitioning\(term#", plan)
+    assert_same(found(rank_cases(queries, whole_index, 3)), brute_top(3, WHOLE))
+
+
+@pytest.mark.parametrize("low, high", [(1, 1), (1, 3), (2, 3), (3, 3)])
+def test_many_groups_and_terms_of_any_length(spark, corpus, queries, monkeypatch, low, high):
+    """The terms and cases pass by each group in lists and blocks; keys that repeat are one message."""
+    for name, value in {"HELD": 300, "ENTRIES": 150, "TERMS_A_ROW": 7}.items():
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    config = replace(WHOLE, low=low, high=high)
+    index = CaseIndex.build(corpus, config)
+    assert_same(found(rank_cases(queries, index, 3)), brute_top(3, config))
+    idf = brute_model([t for _, t, _ in CORPUS], config)
+    halves = [CORPUS[7][1], CORPUS[8][1]]
+    twice = spark.createDataFrame([("m", t) for t in halves] + [("n", halves[0])], "id string, customer_text string")
+    tf = Counter(w for t in halves for w in terms(t, config) if w in idf)
+    raw = {w: (1 + math.log(c)) * idf[w] for w, c in tf.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    want = {}
+    for i, t, _ in CORPUS:
+        case = brute_vector(t, idf, config) if any(w in idf for w in terms(t, config)) else {}
+        if any(w in case for w in raw):
+            want[i] = sum(x / norm * case.get(w, 0) for w, x in raw.items())
+    got = {r["doc_id"]: r["score"] for r in retrieval.scores(twice, index).where("id = 'm'").collect()}
+    assert got == pytest.approx(want, abs=1.1e-6)
