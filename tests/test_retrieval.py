@@ -1,6 +1,8 @@
+import glob
 import math
 import random
 import re
+import time
 from collections import Counter
 from dataclasses import replace
 
@@ -362,3 +364,38 @@ def test_many_groups_and_terms_of_any_length(spark, corpus, queries, monkeypatch
             want[i] = sum(x / norm * case.get(w, 0) for w, x in raw.items())
     got = {r["doc_id"]: r["score"] for r in retrieval.scores(twice, index).where("id = 'm'").collect()}
     assert got == pytest.approx(want, abs=1.1e-6)
+
+
+RELEASE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_copies_of_the_index_are_made_a_round_at_a_time(spark, whole_index, queries, monkeypatch):
+    """However many groups of messages there are, no shuffle has more copies than there are cores."""
+    cores, tasks, kind = spark.sparkContext.defaultParallelism, [], type(queries)
+    dealt = kind.repartition
+
+    def counted(self, n, *by):
+        tasks.append((n, spark.conf.get(RELEASE_KEY, None)))
+        return dealt(self, n, *by)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    monkeypatch.setattr(retrieval, "HELD", 60)
+    assert_same(found(rank_cases(queries, whole_index, 3)), brute_top(3, WHOLE))
+    assert len(tasks) > 1 and set(tasks) == {(cores, "true")}
+    assert spark.conf.get(RELEASE_KEY, None) is None
+    with pytest.raises(Exception, match="a row has no id"):
+        rank_cases(spark.createDataFrame([(None, "w1 w2" * 99)], "id long, customer_text string"), whole_index, 1).collect()
+
+
+def test_a_built_index_leaves_no_shuffle_files(spark, corpus):
+    def files():
+        return set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data"))
+
+    before = files()
+    more = spark.createDataFrame([(900, "w1 w2 w1", "answer")], corpus.schema)
+    index = CaseIndex.build(corpus, WHOLE).extend(more)
+    for _ in range(100):    # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and index.n_docs == len(CORPUS) + 1
