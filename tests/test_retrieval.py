@@ -399,3 +399,32 @@ def test_a_built_index_leaves_no_shuffle_files(spark, corpus):
             break
         time.sleep(0.1)
     assert not files() - before and index.n_docs == len(CORPUS) + 1
+
+
+@pytest.mark.parametrize("settings", [{}, {"DENSE": 2.0}, {"DENSE": 0.0}, {"ENTRIES": 300, "AT_ONCE": 200, "TRIED": 5}])
+def test_cases_that_single_precision_cannot_tell_apart(spark, monkeypatch, settings):
+    """Norms that differ in the sixth digit rank cases; exact copies go by their ids, however many there are."""
+    for name, value in settings.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rows = [(i, " ".join(["aa"] * 400 + ["bb"] * (400 + i % 3) + ["cc"] * (i % 2))) for i in range(90)]
+    rows += [(100 + i, f"bb cc dd w{i % 5}") for i in range(60)]
+    corpus = spark.createDataFrame([(i, t, "r") for i, t in rows], "inquiry_id long, customer_text string, agent_text string")
+    config = TfidfConfig(1, 2, sublinear=True)
+    queries = [(0, "aa bb"), (1, "bb cc"), (2, "dd"), (3, rows[4][1]), (4, "bb cc dd w3"), (5, "none")]
+    ranked = rank_cases(spark.createDataFrame(queries, "id long, customer_text string"), CaseIndex.build(corpus, config), 4)
+    got = {q: [] for q, _ in queries}
+    for r in sorted(ranked.collect(), key=lambda r: r["rank"]):
+        got[r["id"]].append((r["score"], r["doc_id"]))
+    assert_same(got, brute_top(4, config, [(i, t, "r") for i, t in rows], queries))
+
+
+def test_later_blocks_hand_on_only_better_cases(spark, whole_index, queries, monkeypatch):
+    """A task keeps the best scores of a message, so a block adds no case that earlier ones surpass."""
+    monkeypatch.setattr(retrieval, "ENTRIES", 100)
+    asked = retrieval._worded(queries, whole_index, "id", "customer_text")
+    handed = retrieval._product(asked, 1, retrieval._term_lists(whole_index), whole_index, retrieval._best_of_block(1, 1_000)).collect()
+    scores = {}
+    for r in handed:    # in the order in which they were made
+        assert r["score"] >= scores.get(r["_q"], 0)
+        scores[r["_q"]] = r["score"]
+    assert scores == pytest.approx({q: v[0][0] for q, v in brute_top(1, WHOLE).items() if v}, abs=1.1e-6)
