@@ -145,3 +145,19 @@ def test_certificate_tells_a_fitted_model(spark):
     assert set(done) == set(words) and all(r["converged"] and r["n"] == 20 for r in done.values())
     stopped = classify.IntentModel.fit(df, replace(settings, max_iter=1)).certificate(df).collect()
     assert not any(r["converged"] for r in stopped)
+
+
+def test_a_larger_training_set_is_fitted_on_all_cores(train, monkeypatch):
+    """Above the rows of one part, there is a part for each core; the model stays the same."""
+    settings, parts = IntentSettings(TfidfConfig(1, 1, 50), 1.0, 200), []
+    alone = IntentModel.fit(train, settings)
+    stored = classify.materialize
+    monkeypatch.setattr(
+        classify, "materialize", lambda df, name: (name == "features" and parts.append(df.rdd.getNumPartitions())) or stored(df, name))
+    monkeypatch.setattr(classify, "ROWS_PER_PART", train.count() - 1)
+    monkeypatch.setattr(classify, "ROWS_PER_CORE", 1)
+    spread = IntentModel.fit(train, settings)
+    assert parts == [min(train.count(), train.sparkSession.sparkContext.defaultParallelism)] and parts[0] > 2
+    one, other = ({(r["intent"], r["term"]): r["coefficient"] for r in m.coefficients(train.sparkSession).collect()}
+                  for m in (alone, spread))
+    assert other == pytest.approx(one, abs=1e-2)

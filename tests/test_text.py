@@ -99,3 +99,19 @@ def test_stop_words_go_before_ngrams(spark):
     df = spark.createDataFrame([(0, "cat on the mat")], "id int, t string")
     kept = tx.remove_stop_words(tx.tokenize("t"), ["on", "the"])
     assert run(df, tx.ngrams(kept, 2, 2)) == [["cat mat"]]
+
+
+def test_normalise_one_pass_over_runs(spark):
+    """Runs of whitespace and of other scripts are one space; the plan has one pattern for both, and handles go before links."""
+    odd = ["http://x@user/y z", "@a@b http@q://x", "https://\u00e9\u00a0b http://", "a\u2003\x85b\x1c\x1dc\x7f\x00 d", " \u00e9 ",
+           "@\u00e9_1x@", "htt@x p://z", "http@x://z q", "  \u3000", "\U0001f600a\U0001f600 b\ud7ffc", "@ x://", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id int, t string").coalesce(1)
+
+    def expected(t):
+        t = re.sub(r"https?://\S+", " ", re.sub(r"@\w+", " ", t or ""))
+        return " ".join(re.sub(r"[^\x00-\x7F]+", " ", t).split())
+
+    column = tx.normalize_text("t")
+    assert run(df, column) == [expected(t) for t in odd]
+    plan = df.select(column)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("contains(") >= 2 and tx.SPACE_RUN not in plan
